@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertloom.llm import ngram_join, quality_rules
+from assertloom.llm import ngram_join, packing, quality_gam, quality_rules, recompression
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py, which stands at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_substring_dedup": recompression.query,
+        "op4_best_fit_packing": packing.query,
         "op7_quality_rules": quality_rules.query,
+        "op9_quality_classifier": quality_gam.query,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.ORACLE,
+        "op2_substring_dedup": recompression.ORACLE,
         "op7_quality_rules": quality_rules.oracle(),
     }
