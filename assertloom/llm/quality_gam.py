@@ -17,8 +17,9 @@ from assertloom.session import release, written
 FEATURES = [*METRICS, "digit_ratio", "marked_words", "marked_ratio"]
 #: The labelled rows that a fit reads at most: those with the least hash of doc_id. All other steps read every row.
 MAX_ROWS = 20_000
-#: A word marks a label if it stands in this many contexts (words before it) of such documents, and this share of its documents has the label.
-CONTEXTS, SHARE, MARKED = 10, 0.7, 200
+#: A stem, a word's first letters, marks toxicity if it stands after this many different words in toxic documents, and this share of its
+#: documents is toxic. Copies of a document add no context.
+STEM, CONTEXTS, SHARE, MARKED = 5, 10, 0.9, 500
 THRESHOLD = 0.5
 
 
@@ -151,15 +152,15 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15,
 def _features(df: DataFrame, text: str, marked: list[str]) -> DataFrame:
     df = _layers(df, text)
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = F.size(F.filter(F.split(normal(body), f"[{WS}]+"), lambda w: w.isin(marked))) if marked else F.lit(0)
+    hits = F.size(F.filter(F.split(normal(body), f"[{WS}]+"), lambda w: F.substring(w, 1, STEM).isin(marked))) if marked else F.lit(0)
     df = df.withColumns({"digit_ratio": (F.length(body) - F.length(F.translate(body, "0123456789", ""))) / F.greatest(F.length(body), F.lit(1)), "marked_words": hits})
     return df.withColumn("marked_ratio", F.col("marked_words") / F.greatest("words", F.lit(1)))
 
 
 def _marked(sample: DataFrame) -> list[str]:
-    """The words that mark toxic documents of the sample."""
+    """The stems that mark toxic documents of the sample."""
     words = F.filter(F.split(normal(F.col("text")), f"[{WS}]+"), lambda w: w != "")
-    pairs = sample.select("doc_id", "toxic", words.alias("w")).select("doc_id", "toxic", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))).alias("p"))
+    pairs = sample.select("doc_id", "toxic", words.alias("w")).select("doc_id", "toxic", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, STEM).alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))).alias("p"))
     found = pairs.groupBy("p.word", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("p.before").alias("before")).groupBy("word")
     found = found.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("contexts"))
     top = found.where((F.col("contexts") >= CONTEXTS) & (F.col("bad") >= SHARE * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MARKED)
@@ -168,7 +169,7 @@ def _marked(sample: DataFrame) -> list[str]:
 
 @dataclass
 class Classifier:
-    """Models of low quality and of toxicity over FEATURES, and the words counted for marked_words."""
+    """Models of low quality and of toxicity over FEATURES, and the stems counted for marked_words."""
 
     marked: list[str]
     low: Gam
