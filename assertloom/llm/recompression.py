@@ -56,7 +56,7 @@ def recompress(sym: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, grown: in
     return sym, start, size
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 400_000):
+def _chunks(batches: Iterator[pa.RecordBatch], text: int | str, most: int = 400_000):
     """Slices of batches with up to `most` tokens: (batch, row numbers, token hashes, row of each token)."""
     words = Words()
     for batch in batches:
@@ -101,53 +101,51 @@ def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _candidates(width: int):
-    """Windows at least a third of which is covered by symbols that occur again: (fp, check, doc_id, h, at)."""
+def _candidates(width: int, text: str):
+    """Windows at least a third of which is covered by symbols that occur again: (fp, doc_id, h, at), `at` with 16 more hash bits above 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, h, doc in _chunks(batches, 2, 200_000):
+        for batch, rows, h, doc in _chunks(batches, text, 200_000):
             first = np.searchsorted(doc, np.arange(len(rows) + 1))
+            spans, ids, hs = batch.column("spans"), batch.column("_d"), batch.column("_h")
             out = []
             for j, i in enumerate(rows):
                 a, b = first[j], first[j + 1]
                 if b - a < width:
                     continue
+                flat = spans[i].values
+                starts = flat.field("start").to_numpy()
                 steps = np.zeros(b - a + 1, dtype=np.int32)
-                spans = batch.column(3)[i].as_py()
-                starts = np.array([s["start"] for s in spans])
-                ends = starts + np.array([s["size"] for s in spans])
                 np.add.at(steps, starts, 1)
-                np.add.at(steps, ends, -1)
+                np.add.at(steps, starts + flat.field("size").to_numpy(), -1)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
                 at = np.flatnonzero(covered[width:] - covered[:-width] >= width // 3)
                 if len(at):
                     fp, check = windows(h[a:b], width)
-                    out.append((i, at, fp[at], check[at]))
+                    out.append((i, at.astype(np.int64) | (check[at] >> _U(49)).astype(np.int64) << 32, fp[at]))
             if out:
                 take = pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]))
-                at, fp, check = (np.concatenate([o[k] for o in out]) for k in (1, 2, 3))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array((check >> _U(33)).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))],
-                    ["fp", "check", "doc_id", "h", "at"],
-                )
+                at, fp = (np.concatenate([o[k] for o in out]) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids.take(take), hs.take(take), pa.array(at)], ["fp", "doc_id", "h", "at"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, min_tokens: int = MIN_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, starts): the token positions at which a window begins that occurs earlier, in the order (doc_id, h, position)."""
+def _repeated(full: DataFrame, text: str, min_tokens: int) -> DataFrame:
+    """(doc_id, h, starts): where a window begins that stands earlier, in the order (doc_id, h, position); `full` has those as _d and _h.
+
+    `full` goes whole into the join with the shared symbols, as it does into the join with the marks at the end, so that Spark shuffles it once.
+    """
     least = min(LEAST, max(1, min_tokens // 8))
-    base = Table(docs).pick(doc_id=doc_id, text=text).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    base = base.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
     grown = max(2, min(GROWN, min_tokens // 4))
-    named = base.mapInArrow(_name(ROUNDS, grown, least, min_tokens), "sym long, doc_id long, h long, start int, size int")
+    named = full.select("_d", "_h", text).mapInArrow(_name(ROUNDS, grown, least, min_tokens), "sym long, _d long, _h long, start int, size int")
     shared = named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sym"))).where("n > 1")
-    spans = shared.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    held = base.join(spans, ["doc_id", "h"]).select("doc_id", "h", "text", "spans")
-    cut = held.mapInArrow(_candidates(min_tokens), "fp long, check int, doc_id long, h long, at int")
-    earliest = F.min(F.struct("doc_id", "h", "at")).over(Window.partitionBy("fp", "check"))
-    later = cut.withColumn("first", earliest).where(F.struct("doc_id", "h", "at") > F.col("first"))
-    return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    spans = shared.groupBy("_d", "_h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    cut = full.join(spans, ["_d", "_h"]).mapInArrow(_candidates(min_tokens, text), "fp long, doc_id long, h long, at long")
+    place = F.struct("doc_id", "h", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), F.shiftright("at", 32).alias("check"))
+    both = cut.select("doc_id", "h", place.alias("place"), F.min(place).over(Window.partitionBy("fp")).alias("first"))
+    later = both.where("place > first AND place.check = first.check")
+    return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("place.at")).alias("starts"))
 
 
 def substring_dedup(docs: DataFrame, min_tokens: int = MIN_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,23 +160,25 @@ def substring_dedup(docs: DataFrame, min_tokens: int = MIN_TOKENS, doc_id: str =
     texts of fewer tokens. Rows equal in doc_id and text are one document and get the same text. All other columns stay, whatever their
     names, but an input column called n_removed gives way; an `n_chars` column is set to the new length. An empty table stays empty.
     Very long texts are read whole. The reveal step needs one interior symbol of 4 tokens or more within a repeat of 50 tokens, of which it
-    has about six; which windows are repeated is then decided on the windows' own 95-bit hashes.
+    has about six; which windows are repeated is then decided on the windows' own 79-bit hashes.
     """
     t = Table(docs)
-    starts = repeated_windows(docs, min_tokens, doc_id, text)
-    spans = _spans(min_tokens)
-    marks = starts.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), spans.alias("_spans"))
     body = t.at(text)
-    df = t.df.join(marks, (t.at(doc_id).cast("long") == F.col("_doc")) & (F.xxhash64(body) == F.col("_h")), "left")
-    pieces = F.regexp_extract_all(body, F.lit(f"[^{WS}]+[{WS}]*"), F.lit(0))
+    known = t.at(doc_id).isNotNull() & body.isNotNull()
+    full = t.df.where(known).withColumns({"_d": t.at(doc_id).cast("long"), "_h": F.xxhash64(body)})
+    starts = _repeated(full, t.inner(text), min_tokens)
+    marks = starts.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), _spans(min_tokens).alias("_spans"))
+    df = full.join(marks, ["_d", "_h"], "left")
     keep = F.concat(
         F.array(F.struct(F.lit(0).alias("a"), F.element_at("_spans", 1)["a"].alias("b"))),
         F.zip_with("_spans", F.slice("_spans", 2, 1_000_000_000), lambda x, y: F.struct(x["b"].alias("a"), F.coalesce(y["a"], F.lit(2**31 - 1)).alias("b"))),
     )
-    df = df.withColumn("_pieces", F.when(F.col("_spans").isNotNull(), pieces))
+    cut = F.col("_spans").isNotNull()
+    df = df.withColumn("_pieces", F.when(cut, F.regexp_extract_all(body, F.lit(f"[^{WS}]+[{WS}]*"), F.lit(0))))
     left = F.flatten(F.transform(keep, lambda s: F.slice(F.col("_pieces"), s["a"] + 1, s["b"] - s["a"])))
-    new = F.when(F.col("_spans").isNull(), body).otherwise(F.concat(F.regexp_extract(body, f"^[{WS}]*", 0), F.array_join(left, "")))
-    df = df.withColumn("_new", new).withColumn("_gone", F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(F.aggregate("_spans", F.lit(0), lambda a, s: a + s["b"] - s["a"])).cast("long"))
+    new = F.when(cut, F.concat(F.regexp_extract(body, f"^[{WS}]*", 0), F.array_join(left, ""))).otherwise(body)
+    gone = F.when(cut, F.aggregate("_spans", F.lit(0), lambda a, s: a + s["b"] - s["a"])).otherwise(0).cast("long")
+    df = df.withColumns({"_new": new, "_gone": gone}).unionByName(t.df.where(~known).withColumns({"_new": body, "_gone": F.lit(0).cast("long")}), allowMissingColumns=True)
     out, names = [], []
     for i, name in enumerate(t.names):
         if name.lower() == "n_removed":
