@@ -6,7 +6,7 @@ A null text gives a null struct; an empty one a struct of defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assertloom.functions.names import BUILTINS
@@ -136,29 +136,52 @@ def builtin_functions(c: Column) -> Column:
     return F.concat(*[calls(name) for name in BUILTINS])
 
 
-def parsed(c: Column) -> Column:
-    """All of the above as one struct of type PARSED."""
-    b = body(c)
-    clk, edge = clock(c)
-    cond, reset, low = disable(c)
-    op, left, right = implication(b)
+def parsed_columns(df: DataFrame, sva: str = "sva") -> DataFrame:
+    """df with the fields of PARSED as columns, which replace columns of those names.
+
+    The body, the clock, the disable clause and the implication are layers of their own, used by several fields but computed once; what
+    nothing reads is pruned.
+    """
+    c = F.col(sva)
+    df = df.withColumns({"_body": body(c), "_clock": F.struct(*clock(c)), "_disable": F.struct(*disable(c))})
+    df = df.withColumn("_implication", F.struct(*implication(F.col("_body"))))
+    b, clk, cond, op = F.col("_body"), F.col("_clock"), F.col("_disable"), F.col("_implication")
+    clk, edge = (clk[f"col{i}"] for i in (1, 2))
+    cond, reset, low = (cond[f"col{i}"] for i in (1, 2, 3))
+    op, left, right = (op[f"col{i}"] for i in (1, 2, 3))
     is_assertion, is_assumption, is_cover = kinds(c)
-    out = F.struct(
-        property_name(c).alias("property_name"),
-        is_assertion.alias("is_assertion"),
-        is_assumption.alias("is_assumption"),
-        is_cover.alias("is_cover"),
-        clk.alias("clock_signal"),
-        edge.alias("clock_edge"),
-        reset.alias("reset_signal"),
-        low.alias("reset_active_low"),
-        cond.alias("disable_condition"),
-        op.alias("implication_type"),
-        left.alias("antecedent"),
-        right.alias("consequent"),
-        signals(b, c, clk, reset).alias("signals"),
-        builtin_functions(b).alias("builtin_functions"),
-        delays(b).alias("delays"),
-        temporal_operators(b).alias("temporal_operators"),
-    )
-    return F.when(c.isNotNull(), out)
+    return df.withColumns(
+        {
+            "property_name": property_name(c),
+            "is_assertion": is_assertion,
+            "is_assumption": is_assumption,
+            "is_cover": is_cover,
+            "clock_signal": clk,
+            "clock_edge": edge,
+            "reset_signal": reset,
+            "reset_active_low": low,
+            "disable_condition": cond,
+            "implication_type": op,
+            "antecedent": left,
+            "consequent": right,
+            "signals": signals(b, c, clk, reset),
+            "builtin_functions": builtin_functions(b),
+            "delays": delays(b),
+            "temporal_operators": temporal_operators(b),
+        }
+    ).drop("_body", "_clock", "_disable", "_implication")
+
+
+FIELDS = (
+    "property_name is_assertion is_assumption is_cover clock_signal clock_edge reset_signal reset_active_low disable_condition implication_type antecedent consequent "
+    "signals builtin_functions delays temporal_operators"
+).split()
+
+
+def with_parsed(df: DataFrame, sva: str = "sva", out: str = "parsed") -> DataFrame:
+    """df with a column of type PARSED: null where the text is null."""
+    names = [n for n in df.columns if n != out]
+    inner = df.select(*[F.col(n).alias(f"_{i}_") for i, n in enumerate(names)])
+    text = F.col(f"_{names.index(sva)}_")
+    full = parsed_columns(inner, f"_{names.index(sva)}_")
+    return full.select(*[F.col(f"_{i}_").alias(n) for i, n in enumerate(names)], F.when(text.isNotNull(), F.struct(*FIELDS)).alias(out))
