@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assertloom.functions import cot, parse, text
-from assertloom.operators import cache, coverage, quality, setops, traces
-from assertloom.plans import oracle
+from assertloom.functions import cot, describe, parse, text
+from assertloom.operators import cache, coverage, quality, setops, synthesis, traces, verification
+from assertloom.plans import oracle, pipelines
 from assertloom.plans.corpus import ASSERTIONS, CHECKS, ENTRIES, LOGS, RESULTS, derived, table
+from assertloom.services.models import Echo
 from assertloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +184,34 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.sampled_values(table(spark, sf_dir, "events"))
 
 
+def _described(style: str) -> Query:
+    return lambda spark, sf_dir: describe.described(corpus(spark, sf_dir), style=style).select("prop_id", "description")
+
+
+def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.synthesize(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+def _window(low: Column | int) -> Column:
+    return F.concat(F.lit("req |-> ##[1:"), (1 + low % 5).cast("string"), F.lit("] ack"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of windows of 1 to 5 cycles: the narrower implies the wider."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _window(F.col("o_custkey")).alias("sva1"), _window(F.col("o_orderkey")).alias("sva2"))
+    return verification.check_pairs(pairs).select("id", "sva1", "sva2", "forward", "backward", "result", "relationship")
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus(spark, sf_dir).select(F.col("prop_id").alias("pos"), F.col("sva").alias("SVA"))
+    return pipelines.enrich(lines, Echo(), with_steps=False).select("pos", "SVA", "SVAD")
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_idx"), _window(F.col("p_size")).alias("SVAD"), _window(F.col("p_partkey")).alias("SVA"))
+    return quality.model_metrics(pipelines.evaluate(items, [Echo("m1"), Echo("m2")])).drop("avg_generation_time", "avg_verification_time")
+
+
 QUERIES: dict[str, Query] = {
     "coverage_by_construct": _covered(),
     "coverage_summary": _covered(coverage.coverage_summary),
@@ -249,6 +278,16 @@ QUERIES: dict[str, Query] = {
     "cot_assembly": _explained(lambda p, _: cot.assembly(p), "content"),
     "cot": _explained(cot.explanation, "cot"),
     "trace_sampled_values": _traces,
+    "describe_symbolic": _described("symbolic"),
+    "describe_natural": _described("natural"),
+    "without_comments": _of_corpus(lambda: text.without_comments(F.col("sva")).alias("text")),
+    "reply_code": _of_corpus(lambda: text.reply_code(F.col("sva")).alias("code")),
+    "synth_random": _random,
+    "synth_stratified": lambda spark, sf_dir: synthesis.stratified(spark),
+    "synth_nodes": lambda spark, sf_dir: synthesis.nodes(_random(spark, sf_dir)),
+    "implication_pairs": _pairs,
+    "enrich": _enriched,
+    "evaluate": _evaluated,
 }
 
 
