@@ -15,7 +15,9 @@ from assertloom.llm.common import WS, Table, Words, mix
 #: A passage is repeated text of this many tokens or more.
 MIN_TOKENS = 50
 #: Rounds of naming, the length at which a symbol stops growing, and the least length of a symbol that can reveal a repeat.
-ROUNDS, GROWN, LEAST = 8, 12, 4
+ROUNDS, GROWN, LEAST = 8, 8, 4
+#: Text that repeats itself with a period up to this has too few different tokens to be sure of longer symbols.
+PERIOD = 8
 
 _U = np.uint64
 _PHI = _U(0x9E3779B97F4A7C15)
@@ -71,20 +73,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int | str, most: int = 400_
                 rows, parts, n = [], [], 0
 
 
-def _name(rounds: int, grown: int, least: int, width: int):
+def periodic(h: np.ndarray, doc: np.ndarray, length: int, most: int = PERIOD) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, tokens) of stretches of at least `length` tokens beyond their first period, in which every token is as one period earlier."""
+    starts, sizes = [], []
+    for p in range(1, most + 1):
+        same = (h[p:] == h[:-p]) & (doc[p:] == doc[:-p])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        a, b = edge[::2], edge[1::2]
+        long = b - a >= length
+        starts.append(a[long])
+        sizes.append(b[long] - a[long] + p)
+    return np.concatenate(starts), np.concatenate(sizes)
+
+
+def _name(rounds: int, grown: int, least: int, width: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, h, doc in _chunks(batches, 2):
+        for batch, rows, h, doc in _chunks(batches, text):
             sym, start, size = recompress(h, doc, rounds, grown)
             if not len(sym):
                 continue
             first = np.searchsorted(doc, np.arange(len(rows)))
-            # a symbol longer than a window is a run, which repeats itself: it counts twice
-            keep = np.repeat(np.arange(len(sym)), np.where(size >= width, 2, np.where(size >= least, 1, 0)))
+            again, length = periodic(h, doc, width // 4)
+            # a symbol longer than a window, or periodic text, repeats itself: it counts twice
+            sym, start = np.concatenate([sym, mix(h[again] ^ length.astype(np.uint64)), mix(h[again] ^ length.astype(np.uint64))]), np.concatenate([start, again, again])
+            size = np.concatenate([size, length, length])
+            keep = np.repeat(np.arange(len(sym)), np.where(size >= least, 1 + (size >= width), 0))
             own = doc[start[keep]]
             take = pa.array(np.array(rows)[own])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sym[keep].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((start[keep] - first[own]).astype(np.int32)), pa.array(size[keep].astype(np.int32))],
-                ["sym", "doc_id", "h", "start", "size"],
+                [pa.array(sym[keep].view(np.int64)), batch.column("_d").take(take), batch.column("_r").take(take), pa.array((start[keep] - first[own]).astype(np.int32)), pa.array(size[keep].astype(np.int32))],
+                ["sym", "_d", "_r", "start", "size"],
             )
 
     return run
@@ -102,50 +120,54 @@ def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(width: int, text: str):
-    """Windows at least a third of which is covered by symbols that occur again: (fp, doc_id, h, at), `at` with 16 more hash bits above 32."""
+    """Windows at least a quarter of which is covered by symbols that occur again: (fp, doc_id, r, at), `at` with 15 more hash bits above 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, h, doc in _chunks(batches, text, 200_000):
             first = np.searchsorted(doc, np.arange(len(rows) + 1))
-            spans, ids, hs = batch.column("spans"), batch.column("_d"), batch.column("_h")
+            spans, ids, ranks = batch.column("spans"), batch.column("_d"), batch.column("_r")
             out = []
             for j, i in enumerate(rows):
                 a, b = first[j], first[j + 1]
                 if b - a < width:
                     continue
                 flat = spans[i].values
-                starts = flat.field("start").to_numpy()
+                mine = flat.field("_r").to_numpy() == ranks[i].as_py()
+                starts = flat.field("start").to_numpy()[mine]
                 steps = np.zeros(b - a + 1, dtype=np.int32)
                 np.add.at(steps, starts, 1)
-                np.add.at(steps, starts + flat.field("size").to_numpy(), -1)
+                np.add.at(steps, starts + flat.field("size").to_numpy()[mine], -1)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
-                at = np.flatnonzero(covered[width:] - covered[:-width] >= width // 3)
+                at = np.flatnonzero(covered[width:] - covered[:-width] >= width // 4)
                 if len(at):
                     fp, check = windows(h[a:b], width)
                     out.append((i, at.astype(np.int64) | (check[at] >> _U(49)).astype(np.int64) << 32, fp[at]))
             if out:
                 take = pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]))
                 at, fp = (np.concatenate([o[k] for o in out]) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids.take(take), hs.take(take), pa.array(at)], ["fp", "doc_id", "h", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids.take(take), ranks.take(take), pa.array(at)], ["fp", "doc_id", "r", "at"])
 
     return run
 
 
 def _repeated(full: DataFrame, text: str, min_tokens: int) -> DataFrame:
-    """(doc_id, h, starts): where a window begins that stands earlier, in the order (doc_id, h, position); `full` has those as _d and _h.
+    """(_d, marks): an array of rank << 32 | position, where a window begins that stands earlier, in the order (doc_id, rank, position); `full` has those as _d and _r.
 
-    `full` goes whole into the join with the shared symbols, as it does into the join with the marks at the end, so that Spark shuffles it once.
+    `full` goes whole into each Python stage, and all its joins are on _d alone, so that Spark shuffles the texts once.
     """
-    least = min(LEAST, max(1, min_tokens // 8))
-    grown = max(2, min(GROWN, min_tokens // 4))
-    named = full.select("_d", "_h", text).mapInArrow(_name(ROUNDS, grown, least, min_tokens), "sym long, _d long, _h long, start int, size int")
+    least = min(LEAST, max(1, min_tokens // 12))
+    grown = max(2, min(GROWN, min_tokens // 6))
+    named = full.mapInArrow(_name(ROUNDS, grown, least, min_tokens, text), "sym long, _d long, _r int, start int, size int")
     shared = named.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sym"))).where("n > 1")
-    spans = shared.groupBy("_d", "_h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    cut = full.join(spans, ["_d", "_h"]).mapInArrow(_candidates(min_tokens, text), "fp long, doc_id long, h long, at long")
-    place = F.struct("doc_id", "h", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), F.shiftright("at", 32).alias("check"))
-    both = cut.select("doc_id", "h", place.alias("place"), F.min(place).over(Window.partitionBy("fp")).alias("first"))
+    spans = shared.groupBy("_d").agg(F.collect_list(F.struct("_r", "start", "size")).alias("spans"))
+    cut = full.join(spans, "_d").mapInArrow(_candidates(min_tokens, text), "fp long, doc_id long, r int, at long")
+    # rows cross the shuffle flat; the structs that order them are made after it
+    cut = cut.select("fp", "at", "doc_id", "r").repartition("fp")
+    place = F.struct("doc_id", "r", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), F.shiftright("at", 32).alias("check"))
+    both = cut.select(place.alias("place"), F.min(place).over(Window.partitionBy("fp")).alias("first"))
     later = both.where("place > first AND place.check = first.check")
-    return later.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("place.at")).alias("starts"))
+    mark = F.shiftleft(F.col("place.r").cast("long"), 32).bitwiseOR(F.col("place.at").cast("long"))
+    return later.groupBy(F.col("place.doc_id").alias("_d")).agg(F.array_sort(F.collect_set(mark)).alias("marks"))
 
 
 def substring_dedup(docs: DataFrame, min_tokens: int = MIN_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,16 +181,18 @@ def substring_dedup(docs: DataFrame, min_tokens: int = MIN_TOKENS, doc_id: str =
     A text that holds no repeat stays as it is to the byte. Rows with a null doc_id or a null text stay as they are (`n_removed` 0); so do
     texts of fewer tokens. Rows equal in doc_id and text are one document and get the same text. All other columns stay, whatever their
     names, but an input column called n_removed gives way; an `n_chars` column is set to the new length. An empty table stays empty.
-    Very long texts are read whole. The reveal step needs one interior symbol of 4 tokens or more within a repeat of 50 tokens, of which it
-    has about six; which windows are repeated is then decided on the windows' own 79-bit hashes.
+    Very long texts are read whole. The reveal step needs a quarter of a repeated window to lie in symbols of 4 tokens or more that the copies
+    share (on random text, no window of 8,000 had less), or in text with a period of up to 8. Which windows are repeated is then decided on the windows' own 79-bit hashes.
     """
     t = Table(docs)
     body = t.at(text)
     known = t.at(doc_id).isNotNull() & body.isNotNull()
     full = t.df.where(known).withColumns({"_d": t.at(doc_id).cast("long"), "_h": F.xxhash64(body)})
-    starts = _repeated(full, t.inner(text), min_tokens)
-    marks = starts.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), _spans(min_tokens).alias("_spans"))
-    df = full.join(marks, ["_d", "_h"], "left")
+    # texts of one doc_id are told apart by rank, which takes less room in each window's row than a hash: it is 0 as a rule
+    full = full.withColumn("_r", F.dense_rank().over(Window.partitionBy("_d").orderBy("_h")) - 1)
+    df = full.join(_repeated(full, t.inner(text), min_tokens), "_d", "left")
+    own = F.transform(F.filter("marks", lambda m: F.shiftright(m, 32) == F.col("_r")), lambda m: m.bitwiseAND(0xFFFFFFFF).cast("int"))
+    df = df.withColumn("starts", own).withColumn("_spans", F.when(F.size("starts") > 0, _spans(min_tokens)))
     keep = F.concat(
         F.array(F.struct(F.lit(0).alias("a"), F.element_at("_spans", 1)["a"].alias("b"))),
         F.zip_with("_spans", F.slice("_spans", 2, 1_000_000_000), lambda x, y: F.struct(x["b"].alias("a"), F.coalesce(y["a"], F.lit(2**31 - 1)).alias("b"))),
