@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from assertloom.llm.common import WS, Table
 
 CAPACITY = 2048
-#: Parts in which the documents of one length are ranked, so that a frequent length is no single task.
-PARTS = 64
+#: Documents of one length that are ranked together, on average: a frequent length is cut into as many parts as that takes.
+PART_ROWS = 4_000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -78,7 +78,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     return base.select("doc_id", F.explode(F.when(F.col("n") > capacity, long).otherwise(whole)).alias("p")).select("doc_id", "p.*")
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
+def lengths(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, piece, n_tokens) of pieces(), without making any text."""
+    base = Table(docs).pick(doc_id=doc_id, text=text).select("doc_id", F.regexp_count("text", F.lit(f"[^{WS}]+")).alias("n")).where("n > 0")
+    base = base.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    return base.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
+
+
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """Sequences of up to `capacity` tokens: (seq_id, n_tokens, doc_ids, pieces, lengths, texts), the arrays in the order of the sequence.
 
     A token is what stands between ASCII white space. A text longer than the capacity is cut at tokens into pieces that fill a sequence
@@ -89,10 +96,13 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "d
     are between equal rows only. Other columns play no part, whatever their names; an empty table gives no sequences.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, capacity, doc_id, text).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    counts = cut.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    sizes = lengths(docs, capacity, doc_id, text)
+    histogram = {r.n_tokens: r.n for r in sizes.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots, _ = plan(histogram, capacity)
+    parts = F.broadcast(spark.createDataFrame([(k, -(-n // part_rows)) for k, n in histogram.items()], "n_tokens int, parts long"))
+    part = F.pmod(F.xxhash64("doc_id", "piece"), "parts").alias("part")
+    counts = sizes.join(parts, "n_tokens").select("n_tokens", part).groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
+    cut = pieces(docs, capacity, doc_id, text).join(parts, "n_tokens").select("doc_id", "piece", "n_tokens", "text", part)
     table = spark.createDataFrame(slots, "n_tokens int, first long, n long, per long, bin long, off int")
     table = table.groupBy("n_tokens").agg(F.collect_list(F.struct("first", "n", "per", "bin", "off")).alias("slots"))
     before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
