@@ -23,7 +23,7 @@ TILE = 1000
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows a band (the fewest false candidates) with which pairs at the threshold meet with chance `recall`, in at most `hashes` hashes."""
-    fits = [(math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)), r) for r in range(1, 17) if threshold**r < 1]
+    fits = [(math.ceil(math.log(1 - recall) / math.log1p(-(threshold**r))), r) for r in range(1, 17) if threshold**r < 1]
     fits = [(b, r) for b, r in fits if b * r <= hashes]
     if not fits:
         raise ValueError(f"{hashes} hashes can't reach recall {recall} at {threshold}")
