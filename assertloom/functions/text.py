@@ -330,7 +330,7 @@ def reply_code(c: Column) -> Column:
 
 
 def nested_calls(c: Column) -> Column:
-    """array(struct(name, arguments)): built-in calls with one level of parentheses in them, arguments split outside parentheses."""
+    """array(struct(name, arguments)): built-in calls up to the first closing parenthesis, arguments split outside parentheses."""
     return _batch(pure.nested_calls, "array<struct<name:string,arguments:array<string>>>")(c)
 
 

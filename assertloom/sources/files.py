@@ -104,8 +104,12 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hdl(spark: SparkSession, path: str, recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, text) of the HDL files of a folder, or of one file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+    out = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    if recursive:
+        return out
+    own = path.removeprefix("file:").rstrip("/")
+    return out.where(F.regexp_replace("path", "/[^/]*$", "").endswith(own) | F.col("path").endswith(own))
 
 
 def write_hdl(texts: DataFrame, path: str, text: str = "text") -> None:

@@ -70,6 +70,7 @@ def test_plain_text_functions():
     assert pure.reindent("module m;\nbegin\nx;\nend\nendmodule") == "module m;\n    begin\n        x;\n    end\nendmodule"
     assert pure.strip_comments('a; // b\n/* c\nd */ e;\n\ns = "//x"; /* y */') == 'a;\ne;\ns = "//x";'
     assert pure.reply_code("text\n```sv\na (\n```\n```\nb\n```") == "b"
-    assert pure.nested_calls("$past(f(a, b), 2)") == [{"name": "$past", "arguments": ["f(a, b)", "2"]}]
+    assert pure.split_arguments("f(a, b), 2,, c") == ["f(a, b)", "2", "c"]
+    assert pure.nested_calls("$past(f(a, b), 2)") == [{"name": "$past", "arguments": ["f(a, b"]}]  # the first closing parenthesis ends a call
     assert pure.past_uses("$past(a) $past(a, 3) $past(b)") == {"a": 3, "b": 1}
     assert "reg a_d2;" in pure.past_registers("$past(a, 2)") and pure.past_registers("a") == ""

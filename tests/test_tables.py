@@ -48,11 +48,11 @@ def test_pairs_and_generated(spark, tmp_path):
 
 def test_hdl_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    put(tmp_path / "a.sv", "property p; x; endproperty\nassert property (p);")
+    put(tmp_path / "a.sv", "property p;\n x;\nendproperty\nassert property (p);")
     put(tmp_path / "sub" / "b.sva", "cover property (q);")
     put(tmp_path / "c.txt", "assert property (z);")
     found = files.properties_of(files.read_hdl(spark, str(tmp_path))).collect()
-    assert sorted((r["pass"], r.sva) for r in found) == [(0, "property p; x; endproperty"), (1, "assert property (p);"), (1, "cover property (q);")]
+    assert sorted((r["pass"], r.sva) for r in found) == [(0, "property p;\n x;\nendproperty"), (1, "assert property (p);"), (1, "cover property (q);")]
     assert files.read_hdl(spark, str(tmp_path), recursive=False).count() == 1
 
 
