@@ -104,15 +104,20 @@ def stream_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], I
             for a, b in zip(edges, edges[1:]):
                 part, key = pdf.iloc[a:b], tuple(k.iloc[a])
                 if last is not None and key != last:
-                    out.extend(fn(pd.concat(held) if len(held) > 1 else held[0]))
+                    for row in fn(pd.concat(held) if len(held) > 1 else held[0]):
+                        out.append(row)
+                        if len(out) >= 4000:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
                     held = []
                 held.append(part)
                 last = key
+        if held:
+            for row in fn(pd.concat(held) if len(held) > 1 else held[0]):
+                out.append(row)
                 if len(out) >= 4000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
-        if held:
-            out.extend(fn(pd.concat(held) if len(held) > 1 else held[0]))
         if out:
             yield pd.DataFrame(out, columns=names)
 

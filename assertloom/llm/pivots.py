@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from assertloom.llm.common import Table, stream_groups
 
 THRESHOLD = 0.95
-#: Pivots in a description, and how many of them two near vectors must share.
-NEAREST, SHARED = 8, 3
+#: Pivots in a description at most; two near vectors must share one. Pivots are at least as far apart as twice the threshold's angle, but
+#: need not be further apart than this cosine.
+NEAREST, APART = 8, 0.5
+#: Pairs of a tile that are looked up at once.
+BLOCK = 100_000
 #: Vectors of one inverted list that a task holds against each other; a longer list is cut into tiles of two such parts.
 TILE = 2000
 
@@ -27,32 +30,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _tile(threshold: float, shared: int):
+def _apart(x: np.ndarray, cosine: float) -> np.ndarray:
+    """The rows of x, in order, whose cosine with each row taken before is less than `cosine`: a group of near copies then brings few pivots."""
+    taken = np.empty_like(x)
+    n = 0
+    for v in x:
+        if not n or (taken[:n] @ v).max() < cosine - 1e-9:
+            taken[n] = v
+            n += 1
+    return taken[:n]
+
+
+def _tile(threshold: float):
     def pairs(pdf: pd.DataFrame) -> Iterator[tuple]:
         pivot, ti, tj = pdf["pivot"].iloc[0], pdf["ti"].iloc[0], pdf["tj"].iloc[0]
         ids, slot = pdf["vec_id"].to_numpy(), pdf["slot"].to_numpy()
         x = np.stack(pdf["v"].to_list())
-        near = np.stack(pdf["near"].to_list())
         keys = np.stack(pdf["keys"].to_list())
-        names, at = np.unique(near, return_inverse=True)
-        has = np.zeros((len(ids), len(names)), dtype=np.float32)
-        has[np.repeat(np.arange(len(ids)), near.shape[1]), at.reshape(-1)] = 1
+        x32 = x.astype(np.float32)
         for i in range(0, len(ids), 512):
             j = slice(i, i + 512)
-            ok = has[j] @ has.T >= shared  # retrieval by shared-pivot counts
-            ok &= x[j].astype(np.float32) @ x.T.astype(np.float32) >= threshold - 1e-4
+            ok = x32[j] @ x32.T >= threshold - 1e-4  # all of a list share its pivot
             ok &= ids[j, None] < ids[None, :] if ti == tj else (slot[j, None] == ti) & (slot[None, :] == tj) & (ids[j, None] != ids[None, :])
-            a, b = np.nonzero(ok)
-            if not len(a):
-                continue
-            a = a + i
-            both = keys[a][:, :, None] == keys[b][:, None, :]
-            first = np.where(both.any(2), keys[a], np.iinfo(np.int64).max).min(1)
-            mine = first == pivot  # a pair is made at the least pivot that indexes both
-            cos = np.einsum("ij,ij->i", x[a], x[b])
-            for p, q, c in zip(ids[a[mine]], ids[b[mine]], cos[mine]):
-                if c >= threshold:
-                    yield int(min(p, q)), int(max(p, q)), round(float(c), 6)
+            left, right = np.nonzero(ok)
+            for k in range(0, len(left), BLOCK):
+                a, b = left[k : k + BLOCK] + i, right[k : k + BLOCK]
+                both = keys[a][:, :, None] == keys[b][:, None, :]
+                first = np.where(both.any(2), keys[a], np.iinfo(np.int64).max).min(1)
+                mine = first == pivot  # a pair is made at the least pivot that lists both
+                cos = np.einsum("ij,ij->i", x[a], x[b])
+                for p, q, c in zip(ids[a[mine]], ids[b[mine]], cos[mine]):
+                    if c >= threshold:
+                        yield int(min(p, q)), int(max(p, q)), round(float(c), 6)
 
     return pairs
 
@@ -60,10 +69,11 @@ def _tile(threshold: float, shared: int):
 def embedding_near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(vec_a, vec_b, cosine): pairs vec_a < vec_b whose cosine is `threshold` or more; the search is approximate, each cosine exact to 6 places.
 
-    The pivots are vectors of the table, those with the least hash of vec_id, twice the square root of their number. A vector is described by
-    its NEAREST pivots in order; each pivot has an inverted list of the vectors near it. Vectors that share SHARED pivots of NEAREST share one of
-    any NEAREST - SHARED + 1 that come first in one order of all pivots, so only those are indexed, rarely used pivots first. Within a list,
-    pairs are retrieved by the count of shared pivots, then verified. A long list is cut into tiles; nothing is capped.
+    The pivots are vectors of the table, of those with the least hash of vec_id, twice the square root of their number, the ones that are
+    further from all before than twice the angle of `threshold` (or APART): a group of near copies has one pivot or few, however large it is.
+    A vector is described by its NEAREST pivots, without those that are further from it than the nearest by more than twice that angle, as a
+    near vector's nearest pivot can't be among them. Each pivot has an inverted list of the vectors it describes; pairs that share a list are
+    verified. A long list is cut into tiles; nothing is capped.
 
     Vectors that are null, empty, of zero length, or hold a null, a NaN or an infinite element take no part, nor do rows with a null vec_id, nor
     those of another dimension than most (of the smaller, if two are as frequent). Rows that repeat a vec_id: the least vector counts.
@@ -78,9 +88,9 @@ def embedding_near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, vec_i
         return vectors.sparkSession.createDataFrame([], out)
     base = base.where(F.size("v") == sizes.d).groupBy("vec_id").agg(F.min("v").alias("v"))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots or pivot_count(sizes.n)).collect()
-    table = _unit(np.array([r.v for r in chosen]))
+    angle = 2 * np.arccos(np.clip(threshold, -1, 1))
+    table = _apart(_unit(np.array([r.v for r in chosen])), max(APART, np.cos(min(angle, np.pi))))
     nearest = min(NEAREST, len(table))
-    shared = min(SHARED, nearest)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,19 +99,18 @@ def embedding_near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, vec_i
             x = _unit(np.stack(pdf["v"].to_list()))
             sims = (x @ table.T).round(9)
             near = np.argsort(-sims, axis=1, kind="stable")[:, :nearest]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": list(x), "near": list(near.astype(np.int64))})
-
-    described = base.mapInPandas(describe, "vec_id long, v array<double>, near array<long>")
-    used = {r.p: r.n for r in described.select(F.explode("near").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
-    order = {p: i for i, p in enumerate(sorted(used, key=lambda p: (used[p], p)))}
-    rank = F.lit([order.get(p, len(order)) for p in range(len(table))])
-    parts = F.lit([-(-used.get(p, 1) // TILE) for p in sorted(range(len(table)), key=lambda p: order.get(p, len(table)))])
-    near = F.transform("near", lambda p: F.get(rank, p.cast("int")).cast("long"))
-    listed = described.select("vec_id", "v", near.alias("near")).withColumn("keys", F.slice(F.array_sort("near"), 1, nearest - shared + 1))
-    listed = listed.withColumn("pivot", F.explode("keys")).withColumn("parts", F.get(parts, F.col("pivot").cast("int")).cast("int"))
+            far = np.arccos(np.clip(np.take_along_axis(sims, near, 1), -1, 1))
+            near = np.where(far <= far[:, :1] + angle + 1e-6, near, near[:, :1])  # the nearest again in place of one too far
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": list(x), "keys": list(near.astype(np.int64))})
+
+    described = base.mapInPandas(describe, "vec_id long, v array<double>, keys array<long>")
+    pivot = F.explode(F.array_distinct("keys"))
+    used = {r.p: r.n for r in described.select(pivot.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    parts = F.lit([-(-used.get(p, 1) // TILE) for p in range(len(table))])
+    listed = described.withColumn("pivot", pivot).withColumn("parts", F.get(parts, F.col("pivot").cast("int")).cast("int"))
     listed = listed.withColumn("slot", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = listed.select("pivot", F.least("slot", "other").alias("ti"), F.greatest("slot", "other").alias("tj"), "vec_id", "v", "near", "keys", "slot")
-    return stream_groups(tiles, ["pivot", "ti", "tj"], _tile(threshold, shared), out)
+    tiles = listed.select("pivot", F.least("slot", "other").alias("ti"), F.greatest("slot", "other").alias("tj"), "vec_id", "v", "keys", "slot")
+    return stream_groups(tiles, ["pivot", "ti", "tj"], _tile(threshold), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

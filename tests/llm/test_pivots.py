@@ -31,6 +31,20 @@ def test_recall_and_exactness(spark, seed, tile, monkeypatch):
     assert len(got) == len(rows) and got <= want and len(got) >= 0.95 * len(want) and want
 
 
+@pytest.mark.parametrize("groups, size, alike", [(1, 2000, 0.935), (5, 1000, 0.93), (1, 5000, 0.9)])
+def test_recall_in_large_groups(spark, groups, size, alike):
+    """Groups of thousands of jittered copies of one vector, whose pairs have a cosine of about `alike`."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 64))
+    for i in range(0, groups * size, size):
+        noise, centre = r.normal(size=(size, 64)), r.normal(size=64)
+        x[i : i + size] = (alike / (1 - alike)) ** 0.5 * centre / np.linalg.norm(centre) + noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = [tuple(r)[:2] for r in pivots.embedding_near_pairs(df).collect()]
+    got, want = set(rows), brute(x, np.arange(len(x)), pivots.THRESHOLD)
+    assert len(got) == len(rows) and got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (10, [0.0, 1.0])]
