@@ -17,9 +17,10 @@ from assertloom.session import release, written
 FEATURES = [*METRICS, "digit_ratio", "marked_words", "marked_ratio"]
 #: The labelled rows that a fit reads at most: those with the least hash of doc_id. All other steps read every row.
 MAX_ROWS = 20_000
-#: A stem, a word's first letters, marks toxicity if it stands after this many different words in toxic documents, and this share of its
-#: documents is toxic. Copies of a document add no context.
-STEM, CONTEXTS, SHARE, MARKED = 5, 10, 0.9, 500
+#: A stem, a word's first letters, marks toxicity if it stands after CONTEXTS different words in toxic documents, or after one for every
+#: PER_CONTEXT toxic labels if that is more, and is there RATIO times as frequent, by its share of all words, as in other documents. Copies of
+#: a document add no context. A stray use elsewhere does no harm, as the trees see how often a document has marked words.
+STEM, CONTEXTS, PER_CONTEXT, RATIO, MARKED = 5, 10, 50, 4.0, 500
 THRESHOLD = 0.5
 
 
@@ -160,11 +161,17 @@ def _features(df: DataFrame, text: str, marked: list[str]) -> DataFrame:
 def _marked(sample: DataFrame) -> list[str]:
     """The stems that mark toxic documents of the sample."""
     words = F.filter(F.split(normal(F.col("text")), f"[{WS}]+"), lambda w: w != "")
-    pairs = sample.select("doc_id", "toxic", words.alias("w")).select("doc_id", "toxic", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, STEM).alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))).alias("p"))
-    found = pairs.groupBy("p.word", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("p.before").alias("before")).groupBy("word")
-    found = found.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("contexts"))
-    top = found.where((F.col("contexts") >= CONTEXTS) & (F.col("bad") >= SHARE * F.col("n"))).orderBy(F.desc("bad"), "word").limit(MARKED)
-    return [r.word for r in top.collect()]
+    pairs = sample.select("toxic", words.alias("w")).select("toxic", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, STEM).alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))).alias("p"))
+    toxic = F.col("toxic") == 1
+    found = pairs.groupBy("p.word").agg(F.count_if(toxic).alias("bad"), F.count_if(~toxic).alias("good"), F.count_distinct(F.when(toxic, F.col("p.before"))).alias("contexts"))
+    found = written(found, "stems")
+    all_ = found.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    contexts = max(CONTEXTS, sample.where(toxic).count() // PER_CONTEXT)
+    common = (F.col("bad") + 0.5) * ((all_.good or 0) + 1.0) >= RATIO * (F.col("good") + 0.5) * ((all_.bad or 0) + 1.0)
+    top = found.where((F.col("contexts") >= contexts) & common).orderBy(F.desc("bad"), "word").limit(MARKED)
+    out = [r.word for r in top.collect()]
+    release(found)
+    return out
 
 
 @dataclass

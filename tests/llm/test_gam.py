@@ -48,6 +48,22 @@ def test_held_out_accuracy(spark):
     assert sum(not r.keep for r in bad) >= 0.8 * len(bad)
 
 
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="needs the larger tables")
+def test_toxic_documents_of_every_language(spark):
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    held = docs.join(labels.where(half == 1), "doc_id").select("doc_id", "lang", "toxic", F.col("quality").alias("good"))
+    out = quality_gam.quality_classifier(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where(half == 0)).join(held, "doc_id").collect()
+    missed = {g: (sum(r.p_toxic < 0.5 for r in out if r.toxic == 1 and r.lang == g), sum(r.toxic == 1 and r.lang == g for r in out)) for g in ("de", "en", "es", "fr")}
+    print(missed, sum(r.p_toxic >= 0.5 for r in out if r.toxic == 0), sum(not r.keep for r in out if r.toxic == 0 and r.good == 1), sum(r.toxic == 0 and r.good == 1 for r in out), sum(r.keep for r in out if r.good == 0), sum(r.good == 0 for r in out))
+    assert all(a <= 0.2 * n and n for a, n in missed.values()) and sum(a for a, _ in missed.values()) <= 0.1 * sum(n for _, n in missed.values())
+
+
+def test_a_stem_is_marked_in_spite_of_stray_uses(spark):
+    rows = [(i, f"a{i} badword b{i} badword c{i} badword tail", 1) for i in range(20)] + [(100 + i, f"x{i} badword " + "plain text here " * 40, 0) for i in range(20)]
+    assert quality_gam._marked(spark.createDataFrame(rows, "doc_id long, text string, toxic int")) == ["badwo"]
+
+
 def test_odd_rows(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     more = spark.createDataFrame([(None, "a b"), (9000, None), (9001, ""), (9002, "z " * 50000), (9003, "same"), (9003, "same")], "doc_id long, text string")
