@@ -20,6 +20,7 @@ from assertloom.plans import pipelines
 from assertloom.services.models import Echo, Server
 from assertloom.session import build_session
 from assertloom.sources import files
+from assertloom.verify.bounded import BOUND
 from assertloom.verify.engines import Bounded, Program, valid
 
 
@@ -136,7 +137,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(name)
         c.add_argument("--out")
         c.add_argument("--prover", help="an external prover's command; without it the built-in checker runs")
-        for flag, value in (("--depth", 8 if group in ("implication", "benchmark") else 2), ("--seed", 42), ("--number", 10), ("--samples", 50), ("--top-n", 0)):
+        for flag, value in (("--depth", BOUND if group in ("implication", "benchmark") else 2), ("--seed", 42), ("--number", 10), ("--samples", 50), ("--top-n", 0)):
             c.add_argument(flag, type=int, default=value)
         for flag, value in (("--mode", "random"), ("--preset", "default"), ("--signals", ""), ("--style", "symbolic"), ("--config-file", None), ("--base-url", None), ("--model", None), ("--store", None)):
             c.add_argument(flag, default=value)

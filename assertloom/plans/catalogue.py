@@ -202,6 +202,16 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.check_pairs(pairs).select("id", "sva1", "sva2", "forward", "backward", "result", "relationship")
 
 
+def _late_window(low: Column) -> Column:
+    return F.concat(F.lit("req |-> ##[1:"), (9 + low % 12).cast("string"), F.lit("] ack"))
+
+
+def _late_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of windows of 9 to 20 cycles, up to the bound of the built-in checker."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _late_window(F.col("o_custkey")).alias("sva1"), _late_window(F.col("o_orderkey")).alias("sva2"))
+    return verification.check_pairs(pairs).select("id", "sva1", "sva2", "forward", "backward", "result", "relationship")
+
+
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus(spark, sf_dir).select(F.col("prop_id").alias("pos"), F.col("sva").alias("SVA"))
     return pipelines.enrich(lines, Echo(), with_steps=False).select("pos", "SVA", "SVAD")
@@ -286,6 +296,7 @@ QUERIES: dict[str, Query] = {
     "synth_stratified": lambda spark, sf_dir: synthesis.stratified(spark),
     "synth_nodes": lambda spark, sf_dir: synthesis.nodes(_random(spark, sf_dir)),
     "implication_pairs": _pairs,
+    "implication_pairs_late": _late_pairs,
     "enrich": _enriched,
     "evaluate": _evaluated,
 }

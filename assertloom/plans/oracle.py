@@ -294,6 +294,9 @@ SELECT prop_id, concat_ws({NL}, 'The following signals are used in this assertio
 l AS (SELECT *, coalesce(lag(x) OVER w, false) AS px, coalesce(lag(x, 2) OVER w, false) AS px2, coalesce(max((x)::INT) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) = 1 AS soon FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, x AND NOT px AS rose, NOT x AND px AS fell, x = px AS stable, x <> px AS changed, px2 AS past_2, NOT y OR soon AS purchase_then_high FROM l""",
     "implication_pairs": """WITH p AS (SELECT o_orderkey AS id, 1 + o_custkey % 5 AS n, 1 + o_orderkey % 5 AS m FROM orders)
+SELECT id, concat('req |-> ##[1:', n, '] ack') AS sva1, concat('req |-> ##[1:', m, '] ack') AS sva2, CASE WHEN n <= m THEN 'implies' ELSE 'not_implies' END AS forward, CASE WHEN m <= n THEN 'implies' ELSE 'not_implies' END AS backward,
+ CASE WHEN n = m THEN 'equivalent' ELSE 'not_implies' END AS result, CASE WHEN n = m THEN 'equivalent' WHEN n < m THEN 'generated_implies_reference' ELSE 'reference_implies_generated' END AS relationship FROM p""",
+    "implication_pairs_late": """WITH p AS (SELECT o_orderkey AS id, 9 + o_custkey % 12 AS n, 9 + o_orderkey % 12 AS m FROM orders)
 SELECT id, concat('req |-> ##[1:', n, '] ack') AS sva1, concat('req |-> ##[1:', m, '] ack') AS sva2, CASE WHEN n <= m THEN 'implies' ELSE 'not_implies' END AS forward, CASE WHEN m <= n THEN 'implies' ELSE 'not_implies' END AS backward,
  CASE WHEN n = m THEN 'equivalent' ELSE 'not_implies' END AS result, CASE WHEN n = m THEN 'equivalent' WHEN n < m THEN 'generated_implies_reference' ELSE 'reference_implies_generated' END AS relationship FROM p""",
     "enrich": f"WITH corpus AS ({ASSERTIONS}) SELECT prop_id AS pos, sva AS SVA, sva AS SVAD FROM corpus WHERE length(sva) > 0",

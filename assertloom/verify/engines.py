@@ -28,7 +28,7 @@ class Engine(Protocol):
 class Bounded:
     """The built-in checker."""
 
-    bound: int = 8
+    bound: int = bounded.BOUND
     limit: int = 200_000
     seconds: float = 20.0
 

@@ -10,6 +10,7 @@ from assertloom.plans import pipelines
 from assertloom.services.models import Echo, health
 from assertloom.sources import files
 from assertloom.streaming import corpus as streaming
+from assertloom.verify.engines import Bounded
 
 
 def put(path, data):
@@ -111,6 +112,13 @@ def test_a_second_run_calls_no_model(spark, tmp_path):
     assert cache.read(spark, store).count() == 0
 
 
+@pytest.mark.parametrize("delay, other", [(9, 10), (10, 12), (19, 20)])
+def test_late_consequents_are_told_apart(delay, other):
+    for a, b in ((f"a |-> ##{delay} b", f"a |-> ##{other} c"), (f"a |-> ##{delay} b", f"a |-> ##{other} b"), (f"a |-> ##[1:{other}] b", f"a |-> ##[1:{delay}] b")):
+        assert Bounded().check(a, b)[0] == "not_implies", (a, b)
+    assert Bounded().check(f"a |-> ##[1:{delay}] b", f"a |-> ##[1:{other}] b")[0] == "implies"
+
+
 def test_evaluate(spark):
     items = spark.createDataFrame([(0, "a |-> b", "a |-> b"), (1, "a |-> b && c", "a |-> b"), (2, "", "x"), (3, "a |-> b", None)], "item_idx int, SVAD string, SVA string")
     got = {r.item_idx: r.relationship for r in pipelines.evaluate(items, [Echo()]).collect()}
