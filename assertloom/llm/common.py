@@ -84,6 +84,32 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(acc))
 
 
+class Links:
+    """Links between m rows: how many each row has, and which rows they tie together, in the room of the rows."""
+
+    def __init__(self, m: int):
+        self.count, self.least = np.zeros(m, dtype=np.int64), np.arange(m)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Links between rows x and rows y, each given once."""
+        m = len(self.count)
+        self.count += np.bincount(x, minlength=m) + np.bincount(y, minlength=m)
+        least = self.least
+        while len(x):
+            a, b = least[x], least[y]
+            apart = a != b
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+            while (least != (up := least[least])).any():
+                least = up
+        self.least = least
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        """(row, links, a row of the same group) of each row that has a link."""
+        at = np.flatnonzero(self.count)
+        return list(zip(at.tolist(), self.count[at].tolist(), self.least[at].tolist()))
+
+
 def stream_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], Iterable[tuple]], schema: str, sort: list[str] | None = None) -> DataFrame:
     """fn for each group of equal `keys`, over hash partitions sorted by the keys (and `sort`): a group is held whole, a partition never.
 

@@ -23,7 +23,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of `edges` (two columns of longs, undirected) with the least node of its component.
+    """(node, root): each node of `edges` (two columns of one type that has an order, undirected) with the least node of its component.
 
     Alternates the two star operations until a round changes nothing; the rounds grow with the logarithm of a component's size. Null ends
     and loops are dropped; repeated edges count once; no edges give no rows.

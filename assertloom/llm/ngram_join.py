@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assertloom.llm.common import NOT_WORD, WS, Table, Words, grams, mix, normal, stream_groups
+from assertloom.llm.common import NOT_WORD, WS, Links, Table, Words, grams, mix, normal, stream_groups
 from assertloom.llm.components import components
 from assertloom.session import written
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.99
 #: Members of a group that one task verifies against each other; a larger group is cut into tiles of two such parts.
 TILE = 1000
+NAMES = ["doc_id", "h", "k", "fp", "bands"]
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = 128) -> tuple[int, int]:
@@ -31,7 +32,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
 
 
 def _signer(n: int, bands: int, rows: int):
-    """A function of Arrow batches (doc_id, h, norm): the set's fingerprint and its band hashes; texts without words give no row."""
+    """A function of Arrow batches (doc_id, h, norm): the set's fingerprint and its band hashes, nulls for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
@@ -42,17 +43,24 @@ def _signer(n: int, bands: int, rows: int):
             at, size, ids, hs = 0, 0, batch.column(0), batch.column(1)
             sets: list[np.ndarray] = []
             rows_at: list[int] = []
+            none: list[int] = []
             for i, text in enumerate(batch.column(2)):
                 g = grams(words.hashes((text.as_py() or "").encode().split()), n)
                 if len(g):
                     sets.append(g)
                     rows_at.append(i)
                     size += len(g)
+                else:
+                    none.append(i)
                 at += 1
                 if size > 400_000 or at == len(batch):
                     if sets:
                         yield _sign(sets, ids.take(pa.array(rows_at)), hs.take(pa.array(rows_at)), a, b, bands, rows)
                     sets, rows_at, size = [], [], 0
+            if none:
+                take = pa.array(none)
+                empty = [pa.nulls(len(none), kind) for kind in (pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([ids.take(take), hs.take(take), *empty], NAMES)
 
     return run
 
@@ -69,20 +77,18 @@ def _sign(sets: list[np.ndarray], ids: pa.Array, hs: pa.Array, a: np.ndarray, b:
         out[:, band] = acc
     flatfp = pa.Array.from_buffers(pa.binary(16), len(sets), [None, pa.py_buffer(fp.tobytes())])
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(out.reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([ids, hs, pa.array(fp[:, 0].view(np.int64)), flatfp.cast(pa.binary()), lists], ["doc_id", "h", "k", "fp", "bands"])
+    return pa.RecordBatch.from_arrays([ids, hs, pa.array(fp[:, 0].view(np.int64)), flatfp.cast(pa.binary()), lists], NAMES)
 
 
-def _verify(n: int, threshold: float):
-    """Pairs of a tile that meet in a band, at the least key that they share, and whose full sets reach the threshold."""
+def _near(n: int, threshold: float) -> Callable[[pd.DataFrame], Iterator[tuple]]:
+    """The classes of a tile, and blocks of those pairs that meet in a band, at the least key that they share, and whose full sets reach the threshold."""
     words = Words()
 
-    def pairs(pdf: pd.DataFrame) -> Iterator[tuple]:
-        if pdf["k"].duplicated().any():  # repeated rows bring a class's text more than once
-            pdf = pdf.drop_duplicates("k")
+    def blocks(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         key, ti, tj = pdf["key"].iloc[0], pdf["ti"].iloc[0], pdf["tj"].iloc[0]
         sets = [grams(words.hashes(t.encode().split()), n) for t in pdf["norm"]]
         size = np.array([len(s) for s in sets])
-        slot, ids, ks = pdf["slot"].to_numpy(), pdf["ids"].tolist(), np.stack(pdf["ks"].to_list())
+        slot, ks = pdf["slot"].to_numpy(), np.stack(pdf["ks"].to_list())
         order, m = np.arange(len(pdf)), len(pdf)
         for i0 in range(0, m, 128):
             i1 = min(m, i0 + 128)
@@ -101,10 +107,41 @@ def _verify(n: int, threshold: float):
             else:
                 inter = np.array([len(np.intersect1d(sets[i0 + p], sets[q], assume_unique=True)) for p, q in zip(x, y)])
             jaccard = inter / (size[i0 + x] + size[y] - inter)
-            for p, q, j in zip(*(v[jaccard >= threshold] for v in (x, y, jaccard))):
-                yield ids[i0 + p], ids[q], float(j)
+            keep = jaccard >= threshold
+            yield x[keep] + i0, y[keep], jaccard[keep]
 
-    return pairs
+    return blocks
+
+
+def _one_each(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Repeated rows bring a class's text more than once."""
+    return pdf.drop_duplicates("k") if pdf["k"].duplicated().any() else pdf
+
+
+def _pairs(n: int, threshold: float):
+    near = _near(n, threshold)
+
+    def run(pdf: pd.DataFrame) -> Iterator[tuple]:
+        pdf = _one_each(pdf)
+        k = pdf["k"].to_numpy()
+        for x, y, jaccard in near(pdf):
+            yield from zip(k[x].tolist(), k[y].tolist(), jaccard.tolist())
+
+    return run
+
+
+def _linked(n: int, threshold: float):
+    near = _near(n, threshold)
+
+    def run(pdf: pd.DataFrame) -> Iterator[tuple]:
+        pdf = _one_each(pdf)
+        k, links = pdf["k"].tolist(), Links(len(pdf))
+        for x, y, _ in near(pdf):
+            links.add(x, y)
+        for i, count, other in links.rows():
+            yield k[i], count, k[other]
+
+    return run
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -124,19 +161,24 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _classes(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(class: fp, k, ids, rep, bands), (doc_id, h, text). A class is all documents with one n-gram set; k is the set's short name."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(class: fp, k, n_copies, rep, bands), (doc_id, h, k, fp, bands) of all documents, (doc_id, h, text).
+
+    A class is all documents with one n-gram set, `k` the set's short name, `rep` its least document, which stands for it. Only counts and
+    one document are gathered for a class, however many it has.
+    """
     bands, rows = choose_bands(threshold, recall)
-    base = Table(docs).pick(doc_id=doc_id, text=text).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    base = base.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    signed = base.select("doc_id", "h", normal(F.col("text")).alias("norm")).mapInArrow(_signer(n, bands, rows), "doc_id long, h long, k long, fp binary, bands array<long>")
+    base = Table(docs).pick(doc_id=doc_id, text=text).where("doc_id IS NOT NULL")
+    base = base.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    kind = dict(base.dtypes)["doc_id"]
+    signed = base.select("doc_id", "h", normal(F.col("text")).alias("norm")).mapInArrow(_signer(n, bands, rows), f"doc_id {kind}, h long, k long, fp binary, bands array<long>")
     signed = written(signed, "signatures")
-    members = F.sort_array(F.collect_set("doc_id")).alias("ids")
-    return signed.groupBy("fp").agg(F.first("k").alias("k"), members, F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands")), base
+    classes = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.first("k").alias("k"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands"))
+    return classes, signed, base
 
 
-def _class_pairs(classes: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(left, right: ids of two classes; jaccard) of all pairs of classes that reach the threshold.
+def _tiles(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, ti, tj, k, ks, norm, slot): the classes that share a bucket with another, in tiles in which every pair of such classes is once.
 
     The key of a band's bucket is the least k in it: within a band, two classes share a key just if they share the bucket. A class
     goes once to each of its keys, with the keys of all its bands, and a pair is made only at the least key that it shares: no pair is
@@ -153,55 +195,72 @@ def _class_pairs(classes: DataFrame, texts: DataFrame, n: int, threshold: float)
     # where a class is alone in a band, it has a key there that no other class has
     member = classes.join(own, "fp").select(
         "k",
-        "ids",
         F.col("rep.doc_id").alias("doc_id"),
         F.col("rep.h").alias("h"),
         F.transform("bands", lambda v, i: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda b, _: b == i)), 0), F.xxhash64(F.col("fp"), i))).alias("ks"),
         F.array_distinct(F.map_values("m")).alias("keys"),
     )
-    full = member.join(texts, ["doc_id", "h"]).select("k", "ids", "ks", normal(F.col("text")).alias("norm"), F.explode("keys").alias("key"))
+    full = member.join(texts, ["doc_id", "h"]).select("k", "ks", normal(F.col("text")).alias("norm"), F.explode("keys").alias("key"))
     large = met.groupBy("key").agg(F.count_distinct("fp").alias("n")).where(F.col("n") > TILE)
     full = full.join(large, "key", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int"))
     full = full.withColumn("slot", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    full = full.select("key", F.least("slot", "other").alias("ti"), F.greatest("slot", "other").alias("tj"), "k", "ids", "ks", "norm", "slot")
-    return stream_groups(full, ["key", "ti", "tj"], _verify(n, threshold), "left array<long>, right array<long>, jaccard double")
-
+    return full.select("key", F.least("slot", "other").alias("ti"), F.greatest("slot", "other").alias("tj"), "k", "ks", "norm", "slot")
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs doc_a < doc_b whose sets of word n-grams have a Jaccard similarity of `threshold` or more.
 
-    Words are lower-case and without punctuation. Documents with equal sets are one class, found by grouping, and only classes are
-    banded and compared; at the end pairs of classes become pairs of documents. A pair at the threshold is found with chance `recall`,
-    and a more similar one with a higher chance; every reported similarity is exact (rounded to 6 places).
+def class_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of classes whose sets of word n-grams have a Jaccard similarity of `threshold` or more, by their least documents.
 
-    A text of fewer than n words is one gram, all of it. Null, empty and wordless texts have no set and no partner; rows with a null
-    doc_id take no part. Rows that repeat a doc_id are one document, which never pairs with itself; if its texts differ, each is compared,
-    and a pair of documents has a row for each two sets that reach the threshold. Very long texts are compared whole. Ties don't arise:
-    every pair is given. Other columns play no part, whatever their names; an empty table gives no pairs.
+    A class is all documents with one set, so the copies of a document are not made into pairs; ngram_jaccard_join has the class of every
+    document. doc_a < doc_b unless one doc_id has both texts. The cases are handled as there; the similarity is exact (rounded to 6 places).
     """
-    classes, texts = _classes(docs, n, threshold, recall, doc_id, text)
-    copies = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard")).where("x < y")
-    cross = _class_pairs(classes, texts, n, threshold).select(F.explode("left").alias("x"), "right", "jaccard").select("x", F.explode("right").alias("y"), "jaccard").where("x <> y")
-    return copies.unionByName(cross).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-
+    classes, _, texts = _classes(docs, n, threshold, recall, doc_id, text)
+    pairs = stream_groups(_tiles(classes, texts), ["key", "ti", "tj"], _pairs(n, threshold), "x long, y long, jaccard double")
+    names = classes.select("k", F.col("rep.doc_id").alias("d"))
+    pairs = pairs.join(names.toDF("x", "dx"), "x").join(names.toDF("y", "dy"), "y")
+    return pairs.select(F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def _linked_documents(docs: DataFrame, threshold: float, n: int, recall: float, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, h, class_id, n_copies, n_links) of each row with a doc_id, h being its text's hash."""
+    classes, signed, texts = _classes(docs, n, threshold, recall, doc_id, text)
+    links = written(stream_groups(_tiles(classes, texts), ["key", "ti", "tj"], _linked(n, threshold), "k long, n long, other long"), "links")
+    groups = components(links.select("k", "other"))
+    counts = links.groupBy("k").agg(F.sum("n").alias("n_links"))
+    known = classes.select("fp", "k", "n_copies", F.col("rep.doc_id").alias("least")).join(groups.toDF("k", "root"), "k", "left").join(counts, "k", "left")
+    known = known.select("fp", "least", "n_copies", F.coalesce("root", "k").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    firsts = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    found = known.join(firsts, "root").select("fp", "class_id", "n_copies", "n_links")
+    every = signed.select("doc_id", "h", "fp").join(found, "fp", "left")
+    return every.select("doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root): every document that has a partner, with the least doc_id of its group, the component of the join's pairs.
 
-    Works on stars of classes, whose number follows the documents, never on all pairs of documents.
+def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) of every document: the join's pairs, told document by document.
+
+    Two documents are linked if their sets of word n-grams have a Jaccard similarity of `threshold` or more; words are lower-case and
+    without punctuation. `n_links` counts the different sets that a document's set is linked to, `n_copies` the rows with the same set, itself
+    included, and class_id is the least doc_id that links and copies lead to: its own if there are none. Documents with equal sets are
+    found by grouping, and only one of them is banded and compared. A link at the threshold is found with chance `recall`, and a more
+    similar one with a higher chance; every link is verified on the full sets. class_pairs has the links themselves.
+
+    A text of fewer than n words is one gram, all of it. Null, empty and wordless texts have no set, hence a class of their own, 1 copy and no
+    link; a row with a null doc_id takes no part and isn't in the result. Rows that repeat a doc_id have a row each, with the class of their own text.
+    Ids can be of any type that has an order. Very long texts are compared whole. Ties don't arise: every link counts. Other
+    columns play no part, whatever their names; an empty table gives no rows.
     """
-    classes, texts = _classes(docs, n, threshold, recall, doc_id, text)
-    star = classes.where(F.size("ids") > 1).select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b"))
-    cross = _class_pairs(classes, texts, n, threshold).select(F.col("left")[0].alias("a"), F.col("right")[0].alias("b"))
-    return components(star.unionByName(cross).where("a <> b"))
+    return _linked_documents(docs, threshold, n, recall, doc_id, text).drop("h")
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents whose group has one with a smaller doc_id; all columns stay. Rows that take no part in the join stay."""
+    """docs without the texts whose group has a document with a smaller doc_id; all columns stay.
+
+    Rows that take no part in the join stay: those with a null doc_id, and null, empty and wordless texts. Equal rows stay or go together. Of a
+    doc_id with several texts, each is judged by itself. Otherwise as ngram_jaccard_join; an empty table stays empty.
+    """
     t = Table(docs)
-    gone = near_groups(docs, threshold, n, recall, doc_id, text).where("node <> root").select("node")
-    return t.back(t.df.join(gone, t.at(doc_id).cast("long") == F.col("node"), "left_anti"))
+    gone = _linked_documents(docs, threshold, n, recall, doc_id, text).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    return t.back(t.df.join(gone, (t.at(doc_id) == F.col("_gone")) & (F.xxhash64(t.at(text)) == F.col("_h")), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -209,11 +268,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH t AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '{NOT_WORD.replace(WS, " \\t\\n\\x0B\\f\\r")}', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '{NOT_WORD.replace(WS, " \\t\\n\\x0B\\f\\r")}', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {N - 1}], ' ') AS gram
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {N - 2}, 2))) AS i FROM t WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(c::DOUBLE / (x.n + y.n - c), 6) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c::DOUBLE / (x.n + y.n - c) >= {THRESHOLD}"""
+s AS (SELECT doc_id, count(*) AS n, string_agg(md5(gram), '' ORDER BY gram) AS s FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY md5(s)) AS rep, count(*) OVER (PARTITION BY md5(s)) AS n_copies FROM s),
+r AS (SELECT g.doc_id, gram, n FROM g JOIN c ON c.doc_id = g.doc_id AND c.rep = g.doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= {THRESHOLD}),
+x(a, b) AS (SELECT DISTINCT rep, rep FROM c UNION SELECT x.a, e.b FROM x JOIN e ON e.a = x.b),
+y AS (SELECT a, min(b) AS class_id FROM x GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT t.doc_id, coalesce(y.class_id, t.doc_id) AS class_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies, coalesce(l.n_links, 0)::BIGINT AS n_links
+FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN y ON y.a = c.rep LEFT JOIN l ON l.a = c.rep"""
