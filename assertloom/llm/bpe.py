@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,10 +11,12 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assertloom.llm.common import Table, stream_groups
+from assertloom.llm.pieces import Decoder, Encoder
+from assertloom.session import written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,43 +69,104 @@ def tree(enc: tiktoken.Encoding, leaves: list[list[int]]) -> list[int]:
     return leaves[0] if leaves else []
 
 
-def _arrays(lists: list[list[int]]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    flat = np.fromiter((t for x in lists for t in x), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """What a Python worker remembers of pieces serves all its tasks."""
+    return Encoder(encoding(vocabulary))
 
 
-def encoded(df: DataFrame, text: str, vocabulary: str, schema: str, leaf: int = LEAF) -> DataFrame:
-    """df (no nulls in `text`, the last column), with `ids` in its place; `schema` is that of the other columns.
-
-    Most texts go through the encoder in the task that reads them. One with an unsplit piece of more than `leaf` bytes is cut into rows: its
-    short pieces, and the leaves of its long ones; they are encoded wherever there is room, and meet again to be joined in order.
+@lru_cache(maxsize=4)
+def decoder(vocabulary: str) -> Decoder:
+    return Decoder(encoding(vocabulary))
+
+
+def strings(data: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """An Arrow array of the UTF-8 texts that lie in `data` one after the other; what is no UTF-8 is replaced."""
+    valid = pa.py_buffer(np.packbits(~gone, bitorder="little").tobytes()) if gone.any() else None
+    raw = pa.Array.from_buffers(pa.binary(), len(gone), [valid, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+def lists(ids: np.ndarray, ends: np.ndarray, there: list[bool] | None = None) -> pa.ListArray:
+    """An Arrow list array over ids in a row, null where `there` is false."""
+    mask = None if there is None or all(there) else pa.array([not x for x in there])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)), mask=mask)
+
+
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def unsplit(texts: pa.Array, leaf: int) -> np.ndarray:
+    """Which texts have more than `leaf` bytes in a row that are all white space, or all not: what the pattern may leave in one long piece."""
+    out = np.zeros(len(texts), dtype=bool)
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or int(np.diff(at).max()) <= leaf:
+        return out
+    white = _SPACES[np.frombuffer(texts.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    # a long run holds a whole block of half its length; as a rule there is none
+    block = max(1, leaf // 2)
+    some = white[: len(white) // block * block].reshape(-1, block)
+    if not (some.all(1) | ~some.any(1)).any():
+        return out
+    edges = np.union1d(np.flatnonzero(white[1:] != white[:-1]) + 1, at)
+    out[np.searchsorted(at, edges[:-1][np.diff(edges) > leaf], side="right") - 1] = True
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with up to `most` bytes of text, or one longer text."""
+    texts = batch.column(column)
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def encoded(df: DataFrame, vocabulary: str, finish: Callable[[list, np.ndarray, np.ndarray, list[bool]], pa.RecordBatch], schema: str, leaf: int = LEAF) -> DataFrame:
+    """df, whose last column is a text, in Arrow batches of `schema`: finish(other columns, ids in a row, ends, which texts aren't null) makes each.
+
+    Most texts go through the encoder in the task that reads them, null ones as no ids. One with more than `leaf` bytes that nothing splits is
+    found by a first look at all texts, which writes only such: it is cut into rows, its short pieces and the leaves of its long ones; they
+    are encoded wherever there is room, and meet again to be joined in order.
     """
-    enc_of = lambda: encoding(vocabulary)
-    keys = [c for c in df.columns if c != text]
-    # a piece of more than `leaf` bytes has at least leaf / 4 characters, all of them white space or all but the first not
-    n = max(1, leaf // 4 - 1)
-    long = (F.length(text) >= n) & F.col(text).rlike(rf"(?:^|\s)\S{{{n}}}|\s{{{n}}}")
+    *keys, text = df.columns
+    width, fields = len(keys), dict(df.dtypes)
+    kinds = ", ".join(f"{k} {fields[k]}" for k in keys)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for part in (p for batch in batches for p in slices(batch, width)):
+            found = np.flatnonzero(unsplit(part.column(width), leaf))
+            if len(found):
+                some = part.take(pa.array(found))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.arange(n, n + len(found)))], [*keys, text, "_rid"])
+                n += len(found)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = enc_of()
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids = _arrays([enc.encode_ordinary(t.as_py()) for t in part.column(len(keys))])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], ids], [*keys, "ids"])
-
-    short = df.where(~long).select(*keys, text).mapInArrow(plain, f"{schema}, ids array<int>")
+        one = encoder(vocabulary)
+        for part in (p for batch in batches for p in slices(batch, width)):
+            long = unsplit(part.column(width), leaf)
+            if long.any():
+                part = part.filter(pa.array(~long))
+            texts = part.column(width).to_pylist()
+            yield finish(part.columns[:width], *one.encode([x or "" for x in texts]), [x is not None for x in texts])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = regex.compile(PATTERN)
         for pdf in batches:
-            for rid, copies, body in zip(pdf["_rid"], pdf["_copies"], pdf[text]):
+            for rid, body in zip(pdf["_rid"], pdf[text]):
                 rows, run = [], []
 
                 def flush() -> None:
                     if run:
-                        rows.append((rid, copies, len(rows), 0, "\0".join(map(str, map(len, run))).encode(), b"".join(run)))
+                        rows.append((rid, len(rows), 0, "\0".join(map(str, map(len, run))).encode(), b"".join(run)))
                         run.clear()
 
                 for p in (m.encode() for m in split.findall(body)):
@@ -112,12 +175,12 @@ def encoded(df: DataFrame, text: str, vocabulary: str, schema: str, leaf: int =
                         continue
                     flush()
                     seg = len(rows)
-                    rows.extend((rid, copies, seg, i, b"", x) for i, x in enumerate(halves(p, leaf)))
+                    rows.extend((rid, seg, i, b"", x) for i, x in enumerate(halves(p, leaf)))
                 flush()
-                yield pd.DataFrame(rows, columns=["_rid", "_copies", "seg", "leaf", "lens", "data"])
+                yield pd.DataFrame(rows, columns=["_rid", "seg", "leaf", "lens", "data"])
 
     def leaf_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = enc_of()
+        enc = encoding(vocabulary)
         for pdf in batches:
             ids = []
             for lens, data in zip(pdf["lens"], pdf["data"]):
@@ -129,22 +192,28 @@ def encoded(df: DataFrame, text: str, vocabulary: str, schema: str, leaf: int =
                     out += piece(enc, data[at : at + k])
                     at += k
                 ids.append(out)
-            yield pd.DataFrame({"_rid": pdf["_rid"], "_copies": pdf["_copies"], "seg": pdf["seg"], "leaf": pdf["leaf"], "ids": ids})
+            yield pd.DataFrame({"_rid": pdf["_rid"], "seg": pdf["seg"], "leaf": pdf["leaf"], "ids": ids})
 
     def whole(pdf: pd.DataFrame) -> Iterator[tuple]:
-        enc, out = enc_of(), []
+        enc, out = encoding(vocabulary), []
         for _, part in pdf.groupby("seg", sort=True):
             out += tree(enc, [list(map(int, x)) for x in part["ids"]])
-        for _ in range(int(pdf["_copies"].iloc[0])):
-            yield pdf["_rid"].iloc[0], out
-
-    rid = F.xxhash64(F.to_json(F.struct(*keys)), text)
-    rare = df.where(long).withColumn("_rid", rid)
-    once = rare.groupBy("_rid").agg(F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*keys)).alias("_keys"), F.first(text).alias(text))
-    rows = once.select("_rid", "_copies", text).mapInPandas(cut, "_rid long, _copies long, seg int, leaf int, lens binary, data binary")
-    leaves = rows.repartition("_rid", "seg", "leaf").mapInPandas(leaf_ids, "_rid long, _copies long, seg int, leaf int, ids array<int>")
+        yield pdf["_rid"].iloc[0], out
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                ids = batch.column(width).slice(at, 1).flatten().to_numpy()
+                yield finish([c.slice(at, 1) for c in batch.columns[:width]], ids, np.array([0, len(ids)]), [True])
+
+    short = df.mapInArrow(plain, schema)
+    rare = written(df.mapInArrow(look, f"{kinds + ', ' if keys else ''}{text} string, _rid long"), "unsplit")
+    if rare.isEmpty():
+        return short
+    rows = rare.select("_rid", text).mapInPandas(cut, "_rid long, seg int, leaf int, lens binary, data binary")
+    leaves = rows.repartition("_rid", "seg", "leaf").mapInPandas(leaf_ids, "_rid long, seg int, leaf int, ids array<int>")
     met = stream_groups(leaves, ["_rid"], whole, "_rid long, ids array<int>", ["seg", "leaf"])
-    return short.unionByName(met.join(once.select("_rid", "_keys"), "_rid").select("_keys.*", "ids"))
+    return short.unionByName(rare.drop(text).join(met, "_rid").select(*keys, "ids").mapInArrow(last, schema))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -154,10 +223,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}",
     looks like a special token is ordinary text. Other columns play no part, whatever their names; an empty table gives none.
     """
     base = Table(docs).pick(doc_id=doc_id, text=text)
-    kind = dict(base.dtypes)["doc_id"]
-    out = encoded(base.where("text IS NOT NULL"), "text", vocabulary, f"doc_id {kind}", leaf)
-    none = base.where("text IS NULL").select("doc_id", F.lit(None).cast("array<int>").alias("ids"))
-    return out.unionByName(none).withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids")))
+
+    def finish(keys: list, ids: np.ndarray, ends: np.ndarray, there: list[bool]) -> pa.RecordBatch:
+        n = pa.array(np.diff(ends).astype(np.int32), mask=~np.array(there, dtype=bool))
+        return pa.RecordBatch.from_arrays([*keys, lists(ids, ends, there), n], ["doc_id", "ids", "n_tokens"])
+
+    return encoded(base, vocabulary, finish, f"doc_id {dict(base.dtypes)['doc_id']}, ids array<int>, n_tokens int", leaf)
 
 
 def bpe_decode(tokens: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -182,16 +253,20 @@ def bpe_decode(tokens: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}"
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """(doc_id, ids, n_tokens, text): bpe_encode and then bpe_decode of every document, ids and decoded text side by side."""
-    tokens = bpe_encode(docs, vocabulary, doc_id, text, leaf)
+    """(doc_id, ids, n_tokens, text): bpe_encode and then the decoding of its ids, in one pass, side by side.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
-        for batch in batches:
-            back = [None if x.as_py() is None else enc.decode_bytes(x.as_py()).decode("utf-8", "replace") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "text"])
+    Nulls, empty texts, repeated rows, clashing names and empty tables are as in bpe_encode; a null text comes back as null. A text that
+    doesn't come back as UTF-8 has U+FFFD in place of what is none.
+    """
+    base = Table(docs).pick(doc_id=doc_id, text=text)
+
+    def finish(keys: list, ids: np.ndarray, ends: np.ndarray, there: list[bool]) -> pa.RecordBatch:
+        data, at = decoder(vocabulary).decode(ids, ends)
+        gone = ~np.array(there, dtype=bool)
+        n = pa.array(np.diff(ends).astype(np.int32), mask=gone)
+        return pa.RecordBatch.from_arrays([*keys, lists(ids, ends, there), n, strings(data, at, gone)], ["doc_id", "ids", "n_tokens", "text"])
 
-    return tokens.mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, ids array<int>, n_tokens int, text string")
+    return encoded(base, vocabulary, finish, f"doc_id {dict(base.dtypes)['doc_id']}, ids array<int>, n_tokens int, text string", leaf)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
