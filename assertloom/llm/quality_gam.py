@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -10,17 +12,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assertloom.llm.common import WS, Table, normal
+from assertloom.llm.common import Table
 from assertloom.llm.quality_rules import METRICS, _layers
 from assertloom.session import release, written
 
-FEATURES = [*METRICS, "digit_ratio", "marked_words", "marked_ratio"]
+PLAIN = [*METRICS, "digit_ratio"]
+FEATURES = [*PLAIN, "marked_words", "marked_ratio"]
 #: The labelled rows that a fit reads at most: those with the least hash of doc_id. All other steps read every row.
 MAX_ROWS = 20_000
-#: A stem, a word's first letters, marks toxicity if it stands after CONTEXTS different words in toxic documents, or after one for every
-#: PER_CONTEXT toxic labels if that is more, and is there RATIO times as frequent, by its share of all words, as in other documents. Copies of
-#: a document add no context. A stray use elsewhere does no harm, as the trees see how often a document has marked words.
-STEM, CONTEXTS, PER_CONTEXT, RATIO, MARKED = 5, 10, 50, 4.0, 500
+#: A part of PART letters of a word, its edges counting as letters, marks toxicity if it stands in CONTEXTS different pairs of a word and the one before it in
+#: toxic documents, or in one for every PER_CONTEXT toxic labels if that is more, and is there RATIO times as frequent, by its share of all words,
+#: as in other documents. Copies of a document add no context. A stray use elsewhere does no harm, as the trees see how often a document has marked words.
+PART, CONTEXTS, PER_CONTEXT, RATIO = 5, 10, 50, 20.0
+#: Parts of the sample for cross-fitting: each one's words are marked by what the others show.
+FOLDS = 5
 THRESHOLD = 0.5
 
 
@@ -150,68 +155,131 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15,
     return model
 
 
-def _features(df: DataFrame, text: str, marked: list[str]) -> DataFrame:
-    df = _layers(df, text)
+def _plain(df: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = F.size(F.filter(F.split(normal(body), f"[{WS}]+"), lambda w: F.substring(w, 1, STEM).isin(marked))) if marked else F.lit(0)
-    df = df.withColumns({"digit_ratio": (F.length(body) - F.length(F.translate(body, "0123456789", ""))) / F.greatest(F.length(body), F.lit(1)), "marked_words": hits})
-    return df.withColumn("marked_ratio", F.col("marked_words") / F.greatest("words", F.lit(1)))
+    return _layers(df, text).withColumn("digit_ratio", (F.length(body) - F.length(F.translate(body, "0123456789", ""))) / F.greatest(F.length(body), F.lit(1)))
 
 
-def _marked(sample: DataFrame) -> list[str]:
-    """The stems that mark toxic documents of the sample."""
-    words = F.filter(F.split(normal(F.col("text")), f"[{WS}]+"), lambda w: w != "")
-    pairs = sample.select("toxic", words.alias("w")).select("toxic", F.explode(F.transform("w", lambda x, i: F.struct(F.substring(x, 1, STEM).alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))).alias("p"))
+def parts(word: str) -> set[str]:
+    """The parts of a word between its edges: all its runs of PART signs, or the whole of a shorter one."""
+    w = f"^{word}$"
+    return {w[i : i + PART] for i in range(max(1, len(w) - PART + 1))}
+
+
+class Marked(dict):
+    """1 for each word that has a marked part, by the word as it stands in a text, else 0; remembered, and emptied when large."""
+
+    def __init__(self, marks: frozenset[str]):
+        self.marks = marks
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        word = "".join(c for c in token.lower() if c.isalnum())
+        self[token] = n = int(bool(word) and not self.marks.isdisjoint(parts(word)))
+        return n
+
+    def count(self, text: str | None) -> tuple[int, int]:
+        """(marked words, words) of a text."""
+        tokens = (text or "").split()
+        return sum(map(self.__getitem__, tokens)), len(tokens)
+
+
+def _marks(sample: DataFrame, folds: int = FOLDS) -> list[frozenset[str]]:
+    """The marks that all folds but one show, for each fold, and last those of the whole sample (doc_id, text, toxic, fold)."""
     toxic = F.col("toxic") == 1
-    found = pairs.groupBy("p.word").agg(F.count_if(toxic).alias("bad"), F.count_if(~toxic).alias("good"), F.count_distinct(F.when(toxic, F.col("p.before"))).alias("contexts"))
-    found = written(found, "stems")
-    all_ = found.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    contexts = max(CONTEXTS, sample.where(toxic).count() // PER_CONTEXT)
-    common = (F.col("bad") + 0.5) * ((all_.good or 0) + 1.0) >= RATIO * (F.col("good") + 0.5) * ((all_.bad or 0) + 1.0)
-    top = found.where((F.col("contexts") >= contexts) & common).orderBy(F.desc("bad"), "word").limit(MARKED)
-    out = [r.word for r in top.collect()]
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text, bad, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"]):
+                w = ["".join(c for c in t.lower() if c.isalnum()) for t in text.split()]
+                # the pairs of a text with their number: a long text gives each once
+                pairs = Counter(zip(w, ["", *w]))
+                yield pd.DataFrame([(x, y, bad, fold, n) for (x, y), n in pairs.items() if x], columns=["word", "before", "toxic", "fold", "n"])
+
+    pairs = sample.select("text", "toxic", "fold").mapInPandas(words, "word string, before string, toxic int, fold int, n long")
+    # in toxic documents a pair counts once for each fold; elsewhere only the word's number matters
+    once = pairs.groupBy("word", F.when(toxic, F.col("before")).alias("before"), "toxic", "fold").agg(F.sum("n").alias("n"))
+    each = once.groupBy("word", "fold").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("good"), F.count_if(toxic).alias("contexts"))
+    found = written(each, "words")
+    totals = {r.fold: (r.bad, r.good) for r in found.groupBy("fold").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()}
+    labels = {r.fold: r.n for r in sample.where(toxic).groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    edged = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(edged) - (PART - 1), F.lit(1))), lambda i: F.substring(edged, i, PART)))
+    by = found.select("fold", "bad", "good", "contexts", F.explode(cut).alias("part")).groupBy("part", "fold").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "contexts")])
+    rows = by.groupBy("part").agg(F.collect_list(F.struct("fold", "bad", "good", "contexts")).alias("x")).where(F.aggregate("x.contexts", F.lit(0).cast("long"), lambda a, b: a + b) >= CONTEXTS).collect()
     release(found)
+    out = []
+    for left in (*range(folds), None):
+        bad_all, good_all = (sum(v[i] for f, v in totals.items() if f != left) for i in (0, 1))
+        least = max(CONTEXTS, sum(n for f, n in labels.items() if f != left) // PER_CONTEXT)
+        marks = set()
+        for r in rows:
+            bad, good, contexts = (sum(x[i] for x in r.x if x.fold != left) for i in (1, 2, 3))
+            if contexts >= least and (bad + 0.5) * (good_all + 1.0) >= RATIO * (good + 0.5) * (bad_all + 1.0):
+                marks.add(r.part)
+        out.append(frozenset(marks))
     return out
 
 
 @dataclass
 class Classifier:
-    """Models of low quality and of toxicity over FEATURES, and the stems counted for marked_words."""
+    """Models of low quality and of toxicity over FEATURES, and the parts of words counted for marked_words."""
 
-    marked: list[str]
+    marks: frozenset[str]
     low: Gam
     toxic: Gam
 
-    def chances(self) -> Column:
-        low, toxic = self.low, self.toxic
+    def chances(self, text: str) -> Column:
+        low, toxic, marks = self.low, self.toxic, self.marks
 
         @F.pandas_udf("struct<p_low:double,p_toxic:double>")
-        def score(f: pd.DataFrame) -> pd.DataFrame:
-            x = f.to_numpy(dtype=float)
-            return pd.DataFrame({"p_low": np.round(low.predict(x), 6), "p_toxic": np.round(toxic.predict(x), 6)})
+        def score(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+            known = Marked(marks)
+            for f, texts in batches:
+                x = with_marks(f.to_numpy(dtype=float), texts, known)
+                yield pd.DataFrame({"p_low": np.round(low.predict(x), 6), "p_toxic": np.round(toxic.predict(x), 6)})
+
+        return score(F.struct(*[F.col(c).cast("double").alias(c) for c in PLAIN]), F.col(text))
+
 
-        return score(F.struct(*[F.col(c).cast("double").alias(c) for c in FEATURES]))
+def with_marks(plain: np.ndarray, texts: Iterable[str | None], known: Marked) -> np.ndarray:
+    """The features of rows: PLAIN, then the number and the share of marked words."""
+    counts = np.array([known.count(t) for t in texts], dtype=float).reshape(-1, 2)
+    return np.column_stack([plain, counts[:, 0], counts[:, 0] / np.maximum(counts[:, 1], 1)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """A classifier from the labelled documents: at most `max_rows` labels, those with the least hash of doc_id.
 
     Labels that are null or have no document are passed over; a document with several labels counts with each. Without labelled
-    documents every chance is 0.
+    documents every chance is 0. Ids can be of any type; empty and very long texts are read whole.
     """
     marks = Table(labels).pick(doc_id="doc_id", quality="quality", toxic="toxic").dropna()
-    marks = marks.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "quality", "toxic").limit(max_rows)
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(max_rows)
     base = Table(docs).pick(doc_id=doc_id, text=text).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sample = written(base.join(F.broadcast(marks), "doc_id"), "labelled")  # bounded by max_rows
-    marked = _marked(sample)
-    rows = _features(sample, "text", marked).select("doc_id", "quality", "toxic", *[F.col(c).cast("double").alias(c) for c in FEATURES]).orderBy("doc_id", "quality", "toxic", *FEATURES).toPandas()
+    joined = base.join(F.broadcast(marks), "doc_id")  # bounded by max_rows
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")  # equal texts are in one fold
+    sample = written(joined.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), fold), "labelled")
+    by_fold = _marks(sample)
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [Marked(m) for m in by_fold[:-1]]
+        for pdf in batches:
+            counts = [known[f].count(t) for t, f in zip(pdf["text"], pdf["fold"])]
+            yield pdf.drop(columns=["text", "fold"]).assign(marked_words=[float(n) for n, _ in counts], marked_ratio=[n / max(1, m) for n, m in counts])
+
+    numbers = [F.col(c).cast("double").alias(c) for c in PLAIN]
+    rows = _plain(sample, "text").select("text", "fold", "quality", "toxic", F.col("doc_id").cast("string").alias("doc_id"), *numbers)
+    schema = "quality int, toxic int, doc_id string, " + ", ".join(f"{c} double" for c in FEATURES)
+    rows = rows.mapInPandas(marked, schema).orderBy("doc_id", "quality", "toxic", *FEATURES).toPandas()
     release(sample)
     x = rows[FEATURES].to_numpy(dtype=float)
-    return Classifier(marked, fit_gam(x, (rows["quality"] == 0).to_numpy(float)), fit_gam(x, (rows["toxic"] == 1).to_numpy(float)))
+    return Classifier(by_fold[-1], fit_gam(x, (rows["quality"] == 0).to_numpy(float)), fit_gam(x, (rows["toxic"] == 1).to_numpy(float)))
 
 
 def _scored(df: DataFrame, text: str, model: Classifier) -> DataFrame:
-    return _features(df, text, model.marked).withColumn("_p", model.chances())
+    return _plain(df, text).withColumn("_p", model.chances(text))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +294,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_R
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs that the classifier keeps, with all their columns. All cases are those of quality_classifier."""
     model = fit(docs, labels, max_rows, doc_id, text)
     t = Table(docs)
     return t.back(_scored(t.df, t.inner(text), model).where((F.col("_p.p_low") < threshold) & (F.col("_p.p_toxic") < threshold)))
