@@ -30,8 +30,8 @@ def brute(rows, width):
     return out
 
 
-def run(spark, rows, width):
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def run(spark, rows, width, kind="long"):
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
     hashed = df.select("doc_id", F.xxhash64("text").alias("h"), "text")
     keys = [(r.doc_id, None if r.text is None else r.h, r.text) for r in hashed.collect()]
     want = brute(keys, width)
@@ -58,6 +58,8 @@ def test_against_brute_force(spark, width, letters, seed):
         rows.append((i, r.choice([" ", "\n", "  "]).join(body)))
     rows += [(3, rows[10][1]), (70, rows[11][1]), (70, rows[11][1]), (71, "x " * 300), (72, "a b " * 200), (73, " a b c " * 150), (None, rows[5][1]), (74, None), (75, ""), (76, " \n")]
     run(spark, rows, width)
+    if seed == 1:
+        run(spark, [(None if d is None else f"d{d % 7}-{d}", t) for d, t in rows], width, "string")
 
 
 def test_isolated_passages_of_the_least_length_are_found(spark):
@@ -73,6 +75,15 @@ def test_isolated_passages_of_the_least_length_are_found(spark):
     assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0, 50] * 300
 
 
+def test_a_passage_in_every_document(spark):
+    """One passage in all of 3,000 texts, and a third of all rows equal to one."""
+    r = random.Random(4)
+    word = lambda: f"v{r.randrange(3000)}"
+    p = [word() for _ in range(70)]
+    rows = [(i, " ".join([word() for _ in range(r.randrange(20))] + p + [word() for _ in range(r.randrange(20))])) for i in range(3000)]
+    run(spark, rows + [(5000 + i, rows[7][1]) for i in range(1500)], 50)
+
+
 def test_all_columns_stay(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, "b")], "doc_id long, text string, n_chars long, n_removed string").withColumns({"_d": F.lit(1), "_r": F.lit("r"), "spans": F.lit(0)})
