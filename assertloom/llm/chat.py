@@ -13,7 +13,7 @@ from assertloom.llm.common import WS, Table, stream_groups
 
 #: Tokens of a window, tokens of repeated history in it, and tokens that a turn's markers count for.
 BUDGET, HISTORY, MARKERS = 512, 128, 4
-SCHEMA = "conv_id long, window int, first_turn int, last_turn int, history_from int, n_tokens long, n_target_tokens long, loss_mask string, text string"
+SCHEMA = "window int, first_turn int, last_turn int, history_from int, n_tokens long, n_target_tokens long, loss_mask string, text string"
 
 
 def spans(tokens: np.ndarray, system: int, budget: int = BUDGET, history: int = HISTORY) -> list[tuple[int, int, int]]:
@@ -41,12 +41,12 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     included: 1 for an assistant turn that is new, 0 for all others, so every assistant turn is a target once. A turn counts its words (by
     ASCII white space) and MARKERS; a window keeps to `budget` unless the system turns and one turn alone exceed it.
 
-    Rows with a null conv_id take no part. A null turn number sorts first; a null role is "unknown", never a target; a null text is empty.
+    Rows with a null conv_id take no part; ids can be of any type that has an order. A null turn number sorts first; a null role is "unknown", never a target; a null text is empty.
     Equal rows of a conversation are one turn. A conversation of system turns alone has no window. Turns of any length are whole.
     Other columns play no part, whatever their names; an empty table gives none.
     """
     base = Table(turns).pick(conv_id=conv_id, turn=turn, role=role, text=text).where("conv_id IS NOT NULL")
-    base = base.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.select("conv_id", F.col("turn").cast("long"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("n", (F.regexp_count("text", F.lit(f"[^{WS}]+")) + MARKERS).cast("long"))
 
     def cut(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -65,9 +65,9 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
             target = [int(i >= s and body[i][1] == "assistant") for i in range(h, e + 1)]
             goal = sum(int(body[i][3]) for i, t in zip(range(h, e + 1), target) if t)
             n = system + sum(int(body[i][3]) for i in range(h, e + 1))
-            yield int(pdf["conv_id"].iloc[0]), w, s + 1, e + 1, h + 1, n, goal, "0" * len(head) + "".join(map(str, target)), top + "".join(shown[h : e + 1])
+            yield pdf["conv_id"].iloc[0], w, s + 1, e + 1, h + 1, n, goal, "0" * len(head) + "".join(map(str, target)), top + "".join(shown[h : e + 1])
 
-    return stream_groups(base, ["conv_id"], cut, SCHEMA, ["turn", "role", "text"])
+    return stream_groups(base, ["conv_id"], cut, f"conv_id {dict(base.dtypes)['conv_id']}, {SCHEMA}", ["turn", "role", "text"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
