@@ -75,3 +75,28 @@ def test_run_against_brute_force(spark, sf):
         for d, p, t in zip(r.doc_ids, r.pieces, r.texts):
             back.setdefault(d, {})[p] = t
     assert {d: "".join(x[p] for p in sorted(x)) for d, x in back.items()} == texts
+
+
+def test_odd_rows_pass_through_every_stage(spark, sf, tmp_path):
+    """Nulls, empty, blank and very long texts, repeated rows, extra columns with clashing names, and no rows at all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    long = " ".join(f"the word{i % 977} of {i}" for i in range(60_000)) + "."
+    odd = [(None, "a b", "en", "s", 3), (9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, " \n", "en", "s", 2), (9003, long, "en", "s", len(long)), (9004, long, "en", "s", len(long)), (9005, "same text", "en", "s", 9), (9005, "same text", "en", "s", 9)]
+    clash = {"words": F.lit("x"), "_d": F.lit(1), "fp": F.lit("f"), "part": F.lit(2), "n_removed": F.lit("n"), "_p": F.lit(0)}
+    for name, table in (("odd", docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(clash)), ("none", docs.limit(0).withColumns(clash))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        if name == "none":
+            assert out == []
+        else:
+            packed = [d for r in out for d in r.doc_ids]
+            assert 9003 in packed and not {9000, 9001, 9002, 9004} & set(packed)
+            assert sum(r.n_tokens for r in out if 9003 in r.doc_ids) > 0
+
+
+def test_near_duplicates_keep_what_has_no_group(spark, sf):
+    rows = [(None, "a b c"), (1, None), (2, ""), (3, "  "), (4, "x y z"), (4, "x y z"), (5, "x y z")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(rows[:-1], "doc_id long, text string").collect()))
