@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +41,10 @@ def _models(a: argparse.Namespace) -> list:
         return [Server(m["base_url"], m["model"], m.get("key_variable", "TEXT_MODEL_KEY")) for m in json.load(f)]
 
 
+def _valid(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: valid(x or "")[0])
+
+
 def _pair(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return check_pairs(spark.createDataFrame([("pair", a.antecedent, a.consequent)], "id string, sva1 string, sva2 string"), _engine(a))
 
@@ -117,7 +122,7 @@ COMMANDS = {
     ("benchmark", "clear-cache"): (("path",), _clear),
     ("gen", "generate"): ((), _synthesize),
     ("gen", "validate"): (("code",), _checked),
-    ("gen", "validate-file"): (("path",), lambda s, a: files.read_generated(s, a.path).select("name", "sva", F.udf(lambda x: valid(x or "")[0], "boolean")("sva").alias("is_valid"))),
+    ("gen", "validate-file"): (("path",), lambda s, a: files.read_generated(s, a.path).select("name", "sva", F.pandas_udf(_valid, "boolean")("sva").alias("is_valid"))),
     ("gen", "stress-test"): ((), _stress),
     ("gen", "list-presets"): ((), lambda s, a: s.createDataFrame(list(PRESETS.items()), "preset string, signals array<string>")),
     ("gen", "coverage"): (("path",), _cover),

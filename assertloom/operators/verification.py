@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from time import perf_counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,50 +13,54 @@ from assertloom.functions.text import clock_spec, normalized
 from assertloom.operators.quality import relationship
 from assertloom.verify.engines import Bounded, Engine
 
-_OUT = "forward string, forward_message string, forward_trace string, backward string, backward_message string, backward_trace string"
+_OUT = "forward string, forward_message string, forward_trace string, backward string, backward_message string, backward_trace string, verification_time double"
+_KEY = ["_a", "_b", "_ca", "_cb"]
 
 
 def check_pairs(pairs: DataFrame, engine: Engine = Bounded(), left: str = "sva1", right: str = "sva2") -> DataFrame:
-    """pairs with forward, backward (results of either direction, with messages and counterexamples), result and relationship.
+    """pairs with forward, backward (results of either direction, with messages and counterexamples), result, relationship and the
+    seconds that both directions took (verification_time).
 
-    Each different pair of normalised expressions is checked once, wherever there is room. A null or blank side gives `error`; so do sides
-    whose clocks differ in edge or signal. An engine's failure is a result, never a failed job.
+    Each different pair of normalised expressions and clocks is checked once, wherever there is room. A null or blank side gives `error`.
+    Where the clocks differ in edge or signal, each direction runs on its antecedent's. An engine's failure is a result, never a failed job.
     """
     names = pairs.columns
     base = pairs.select(*[F.col(f"`{n}`").alias(f"_{i}_") for i, n in enumerate(names)])
     a, b = F.col(f"_{names.index(left)}_"), F.col(f"_{names.index(right)}_")
-    base = base.withColumns({"_a": F.coalesce(normalized(a), F.lit("")), "_b": F.coalesce(normalized(b), F.lit("")), "_ca": clock_spec(F.coalesce(a, F.lit(""))), "_cb": clock_spec(F.coalesce(b, F.lit("")))})
+    for c, side in (("a", a), ("b", b)):
+        text = F.coalesce(side, F.lit(""))
+        base = base.withColumns({f"_{c}": F.coalesce(normalized(side), F.lit("")), f"_c{c}": F.concat_ws(" ", clock_spec(text)["edge"], clock_spec(text)["clock"])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for x, y in zip(pdf["_a"], pdf["_b"]):
-                out = []
-                for p, q in ((x, y), (y, x)):
+            for x, y, cx, cy in zip(pdf["_a"], pdf["_b"], pdf["_ca"], pdf["_cb"]):
+                out, start = [], perf_counter()
+                for p, q, at in ((x, y, cx), (y, x, cy)):
                     if not p or not q:
                         out += ["error", "a side is missing", None]
                         continue
                     try:
-                        out += engine.check(p, q)
+                        out += engine.check(p, q, at.split(" ")[1], at.split(" ")[0])
                     except Exception as e:  # an engine's trouble belongs to its row
                         out += ["error", f"{type(e).__name__}: {e}", None]
-                rows.append((x, y, *out))
-            yield pd.DataFrame(rows, columns=["_a", "_b", *[c.split()[0] for c in _OUT.split(", ")]])
+                rows.append((x, y, cx, cy, *out, perf_counter() - start))
+            yield pd.DataFrame(rows, columns=[*_KEY, *[c.split()[0] for c in _OUT.split(", ")]])
 
-    done = base.select("_a", "_b").distinct().mapInPandas(run, f"_a string, _b string, {_OUT}")
-    out = base.join(done, ["_a", "_b"])
-    clash = (F.col("_a") != "") & (F.col("_b") != "") & (F.col("_ca") != F.col("_cb")) & a.contains("@") & b.contains("@")
-    fwd, back = (F.when(clash, "error").otherwise(F.col(c)) for c in ("forward", "backward"))
+    done = base.select(*_KEY).distinct().mapInPandas(run, f"_a string, _b string, _ca string, _cb string, {_OUT}")
+    out = base.join(done, _KEY)
+    fwd, back = F.col("forward"), F.col("backward")
     bad = F.when(fwd.isin("implies", "not_implies"), F.when(back.isin("implies", "not_implies"), F.lit(None)).otherwise(back)).otherwise(fwd)
     result = F.when(bad.isNotNull(), bad).when((fwd == "implies") & (back == "implies"), "equivalent").otherwise("not_implies")
-    told = [F.when(clash, "the clocks differ").otherwise(F.col(f"{c}_message")).alias(f"{c}_message") for c in ("forward", "backward")]
     return out.select(
         *[F.col(f"_{i}_").alias(n) for i, n in enumerate(names)],
-        fwd.alias("forward"),
-        back.alias("backward"),
+        fwd,
+        back,
         result.alias("result"),
         relationship(fwd == "implies", back == "implies", bad).alias("relationship"),
-        *told,
+        "forward_message",
+        "backward_message",
         "forward_trace",
         "backward_trace",
+        "verification_time",
     )

@@ -87,6 +87,6 @@ def evaluate(items: DataFrame, models: list[TextModel], engine: Engine = Bounded
         F.when(failed, "error").otherwise(F.col("relationship")).alias("relationship"),
         F.when(failed, F.concat(F.lit("Generation error: "), "error")).when(F.col("relationship") == "error", F.concat(F.lit("Verification error: "), F.coalesce("forward_message", F.lit("")))).alias("error_message"),
         F.col("seconds").alias("generation_time"),
-        F.lit(0.0).alias("verification_time"),
+        "verification_time",
         "from_cache",
     )

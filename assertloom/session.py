@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "assertloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators are written for; `conf` overrides any of them (underscores for dots)."""
+    """A session with the settings the operators are written for; `conf` overrides any of them (underscores for dots).
+
+    The package itself is sent to the workers, wherever the driver was started; on a cluster without `spark.checkpoint.dir` it must be
+    there already (`--py-files`, or installed).
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,7 +31,30 @@ def build_session(app: str = "assertloom", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    _ship(spark)
+    return spark
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the workers as a zip in the shared folder, once a session."""
+    try:
+        folder = shared_dir(spark)
+    except ValueError:
+        return
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{f.relative_to(root)}"), f.read_bytes())
+    path = f"{folder.rstrip('/')}/{root.name}-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        out = fs.create(target)
+        out.write(data.getvalue())
+        out.close()
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:

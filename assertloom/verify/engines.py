@@ -20,19 +20,19 @@ RESULTS = ("implies", "not_implies", "equivalent", "error", "timeout", "syntax_e
 
 
 class Engine(Protocol):
-    def check(self, antecedent: str, consequent: str) -> tuple[str, str, str | None]:
-        """(result, message, counterexample) for two bare property expressions."""
+    def check(self, antecedent: str, consequent: str, clock: str = "clk", edge: str = "posedge") -> tuple[str, str, str | None]:
+        """(result, message, counterexample) for two bare property expressions, both on the antecedent's clock."""
 
 
 @dataclass(frozen=True)
 class Bounded:
-    """The built-in checker."""
+    """The built-in checker. Its cycles are those of the one clock, whatever that is called."""
 
     bound: int = bounded.BOUND
     limit: int = 200_000
     seconds: float = 20.0
 
-    def check(self, antecedent: str, consequent: str) -> tuple[str, str, str | None]:
+    def check(self, antecedent: str, consequent: str, clock: str = "clk", edge: str = "posedge") -> tuple[str, str, str | None]:
         return bounded.check(antecedent, consequent, self.bound, self.limit, self.seconds)
 
 
@@ -56,14 +56,14 @@ class Program:
     def available(self) -> bool:
         return shutil.which(self.command) is not None
 
-    def check(self, antecedent: str, consequent: str) -> tuple[str, str, str | None]:
+    def check(self, antecedent: str, consequent: str, clock: str = "clk", edge: str = "posedge") -> tuple[str, str, str | None]:
         if not self.available():
             return "error", f"{self.command} is not installed", None
-        names = sorted(set(re.findall(r"\b[a-zA-Z_]\w*\b", re.sub(r"\$\w+|\d+'\w+", "", f"{antecedent} {consequent}"))) - {"and", "or", "not", "throughout", "intersect", "within", "first_match", "until", "until_with", "clk", "rst_n"})
+        names = sorted(set(re.findall(r"\b[a-zA-Z_]\w*\b", re.sub(r"\$\w+|\d+'\w+", "", f"{antecedent} {consequent}"))) - {"and", "or", "not", "throughout", "intersect", "within", "first_match", "until", "until_with", clock, "rst_n"})
         with tempfile.TemporaryDirectory() as folder:  # a scratch file of this task alone
             path = os.path.join(folder, "check.sv")
             with open(path, "w", encoding="utf-8") as f:
-                f.write(module(antecedent, consequent, names))
+                f.write(module(antecedent, consequent, names, clock, edge))
             try:
                 run = subprocess.run([self.command, path, "--top", "implication_check", "--bound", str(self.bound)], capture_output=True, text=True, timeout=self.seconds)
             except subprocess.TimeoutExpired:

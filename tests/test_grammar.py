@@ -1,5 +1,6 @@
 """Trees, synthesis, both describers and the bounded checker."""
 
+from dataclasses import dataclass
 from itertools import product
 from random import Random
 
@@ -11,6 +12,7 @@ from assertloom.grammar.parser import SyntaxProblem, parse
 from assertloom.grammar.synth import CONSTRUCTS, PRESETS, Grammar, contains, make
 from assertloom.operators import synthesis, verification
 from assertloom.verify.bounded import check
+from assertloom.verify.engines import module
 from pyspark.sql import functions as F
 
 
@@ -139,4 +141,21 @@ def test_pairs(spark):
     got = {r.id: (r.forward, r.backward, r.result, r.relationship) for r in verification.check_pairs(spark.createDataFrame(rows, "id int, sva1 string, sva2 string")).collect()}
     assert got[1] == ("implies", "implies", "equivalent", "equivalent")
     assert got[2] == ("implies", "not_implies", "not_implies", "generated_implies_reference")
-    assert got[3][2:] == ("error", "error") and got[4][2:] == ("error", "error") and got[5][2:] == ("syntax_error", "error")
+    assert got[3][2:] == ("error", "error") and got[4][2:] == ("equivalent", "equivalent") and got[5][2:] == ("syntax_error", "error")
+
+
+def test_each_direction_runs_on_the_clock_of_its_antecedent(spark):
+    @dataclass(frozen=True)
+    class Told:
+        def check(self, antecedent, consequent, clock="clk", edge="posedge"):
+            return "implies", f"{edge} {clock}", None
+
+    rows = [(1, "@(negedge ck) a", "@(posedge x) a"), (2, "a", "a"), (3, "@(posedge x) a", "@(negedge ck) a")]
+    got = {r.id: r for r in verification.check_pairs(spark.createDataFrame(rows, "id int, sva1 string, sva2 string"), Told()).collect()}
+    assert {k: (r.forward_message, r.backward_message) for k, r in got.items()} == {1: ("negedge ck", "posedge x"), 2: ("posedge clk", "posedge clk"), 3: ("posedge x", "negedge ck")}
+    assert all(r.verification_time > 0 for r in got.values())
+
+
+def test_a_prover_gets_the_clock():
+    text = module("a", "b", ["a", "b"], "ck", "negedge")
+    assert "input wire ck" in text and text.count("@(negedge ck)") == 3 and "posedge" not in text
