@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 EXPR, BOOL, SEQUENCE, PROPERTY = "EXPR", "BOOL", "SEQUENCE", "PROPERTY"
 UNARY = ("!", "~", "-", "+")
@@ -35,8 +36,7 @@ _FORMS = {
 _TYPES = {"signal": EXPR, "number": EXPR, "ternary": EXPR, "past": EXPR, "call": BOOL, "ended": BOOL} | dict.fromkeys(("delay", "repeat", "seq", "first_match"), SEQUENCE)
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     kind: str
     op: str = ""
     parts: tuple[Node, ...] = ()
@@ -70,18 +70,31 @@ class Node:
 
     def rows(self, tree_id: int) -> list[tuple]:
         """(tree_id, node_id, parent_id, kind, op, text) of every node, parents first: the tree as a relation."""
-        out: list[tuple] = []
-
-        def add(node: Node, parent: int | None) -> None:
-            at = len(out)
-            out.append((tree_id, at, parent, node.kind, node.op, str(node)))
-            for p in node.parts:
-                add(p, at)
+        columns = tuple([] for _ in range(6))
+        self.into(columns, tree_id)
+        return list(zip(*columns))
+
+    def into(self, columns: tuple[list, ...], tree_id: int) -> None:
+        """Appends the values of rows() to six lists."""
+        ids, numbers, parents, kinds, ops, texts = columns
+        start = len(ids)
+
+        def add(node: Node, parent: int | None) -> str:
+            at, (kind, op, parts) = len(ids), node
+            ids.append(tree_id)
+            numbers.append(at - start)
+            parents.append(parent)
+            kinds.append(kind)
+            ops.append(op)
+            texts.append(op)
+            if parts:  # the text is made of those of the parts
+                texts[at] = _FORMS[kind].format(*[add(p, at - start) for p in parts], op=op)
+            return texts[at]
 
         add(self, None)
-        return out
 
 
+@lru_cache(maxsize=10_000)
 def sig(name: str) -> Node:
     return Node("signal", name)
 

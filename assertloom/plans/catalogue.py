@@ -188,8 +188,12 @@ def _described(style: str) -> Query:
     return lambda spark, sf_dir: describe.described(corpus(spark, sf_dir), style=style).select("prop_id", "description")
 
 
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.synthesize(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    return synthesis.synthesize(_ids(spark, sf_dir))
 
 
 def _window(low: Column | int) -> Column:
@@ -294,7 +298,7 @@ QUERIES: dict[str, Query] = {
     "reply_code": _of_corpus(lambda: text.reply_code(F.col("sva")).alias("code")),
     "synth_random": _random,
     "synth_stratified": lambda spark, sf_dir: synthesis.stratified(spark),
-    "synth_nodes": lambda spark, sf_dir: synthesis.nodes(_random(spark, sf_dir)),
+    "synth_nodes": lambda spark, sf_dir: synthesis.random_nodes(_ids(spark, sf_dir)),
     "implication_pairs": _pairs,
     "implication_pairs_late": _late_pairs,
     "enrich": _enriched,

@@ -10,8 +10,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -71,6 +73,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out evenly over four tasks a core, before steps that cost far more than moving its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def arrow_batch(columns: Iterable[Sequence], schema: str) -> pa.RecordBatch:
+    """Columns as an Arrow batch; `schema` is `name type, name type, ...`."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
 _tables: dict[str, SparkSession] = {}
 
 

@@ -9,7 +9,7 @@ import pytest
 from assertloom.functions.describe import described, module_text, signal_names, single
 from assertloom.grammar.narrate import narrate
 from assertloom.grammar.parser import SyntaxProblem, parse
-from assertloom.grammar.synth import CONSTRUCTS, PRESETS, Grammar, contains, make
+from assertloom.grammar.synth import CONSTRUCTS, PRESETS, Grammar, Source, contains, make
 from assertloom.operators import synthesis, verification
 from assertloom.verify.bounded import check
 from assertloom.verify.engines import module
@@ -90,6 +90,35 @@ def test_nodes_as_rows(spark):
     assert [(r.tree_id, r.node_id, r.parent_id, r.kind) for r in rows] == [(1, 0, None, "implies"), (1, 1, 0, "signal"), (1, 2, 0, "unary"), (1, 3, 2, "signal")]
 
 
+def test_random_nodes_are_the_nodes_of_random_properties(spark):
+    ids = spark.createDataFrame([(i,) for i in (*range(300), -4, 7, None)], "id long").coalesce(1)
+    got = synthesis.random_nodes(ids)
+    want = synthesis.nodes(synthesis.synthesize(ids))
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.rdd.getNumPartitions() > 1  # a file of one row group is drawn for by more than one task
+
+
+def test_a_source_draws_what_random_draws():
+    source = Source()
+    for i in range(200):
+        source.seed(f"42|{i}|1")
+        assert str(Grammar(source, max_depth=4).property()) == str(Grammar(Random(f"42|{i}|1"), max_depth=4).property())
+
+
+def test_operators_bind_as_before():
+    text = "a || b && c | d ^ e & f == g < h + i * -j ? k : l"
+    assert str(parse(text)) == "((a || (b && (c | (d ^ (e & (f == (g < (h + (i * (-j)))))))))) ? k : l)"
+    assert str(parse("a - b - c or d and e intersect f within g")) == "(((a - b) - c) or (d and (e intersect (f within g))))"
+    for bad, message in (("a ##1", "unexpected end"), ("(a b", "expected ), found b"), ("a  @b", "unexpected token '@b'"), ("a // c\n $", "unexpected token '$'")):
+        with pytest.raises(SyntaxProblem) as e:
+            parse(bad)
+        assert str(e.value) == message
+
+
+def test_deep_nesting_parses():
+    assert str(parse("(" * 60 + "a" + ")" * 60)) == "a"  # the levels of each operator in turn were too deep for Python's stack
+
+
 def test_texts(spark):
     df = spark.createDataFrame([(["a", "b"], ["property p0;\n x;\nendproperty"], 2)], "s array<string>, b array<string>, n int")
     r = df.select(module_text("m", F.col("s"), F.col("b")).alias("m"), single("cover", F.lit("c"), F.lit("x")).alias("c"), signal_names(F.lit("d"), F.col("n"), "u").alias("n"), signal_names(F.lit("d"), F.lit(0)).alias("z")).first()
