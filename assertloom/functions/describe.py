@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +15,16 @@ from assertloom.grammar.translate import STYLES, translate
 _READ = [f for f in FIELDS if f not in ("property_name", "is_assertion", "is_assumption", "is_cover", "delays", "temporal_operators")]
 
 
+@lru_cache(maxsize=20_000)
+def _told(text: str, fields: str, style: str) -> str:
+    """A description by all that it depends on: properties that differ in name alone have one, and those met of late aren't worded again."""
+    return translate(text, json.loads(fields), text, style)
+
+
 def _worded(style: str):
     @F.pandas_udf("string")
-    def run(code: pd.Series, text: pd.Series, fields: pd.DataFrame) -> pd.Series:
-        rows = fields.to_dict("records")
-        return pd.Series([None if c is None else translate(c, {k: None if isinstance(v, float) else v for k, v in r.items()}, b, style) for c, b, r in zip(code, text, rows)], dtype=object)
+    def run(text: pd.Series, fields: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _told(t, f, style) for t, f in zip(text, fields)], dtype=object)
 
     return run
 
@@ -32,7 +40,8 @@ def described(df: DataFrame, sva: str = "sva", style: str = "symbolic", out: str
     inner = df.select(*[F.col(n).alias(f"_{i}_") for i, n in enumerate(names)])
     at = f"_{names.index(sva)}_"
     full = parsed_columns(inner, at).withColumn("_b", body(F.col(at)))
-    told = _worded(style)(F.col(at), F.col("_b"), F.struct(*_READ))
+    shown = F.when(F.col("_b") == "", F.col(at)).otherwise(F.col("_b"))
+    told = _worded(style)(shown, F.to_json(F.struct(*_READ), {"ignoreNullFields": "false"}))
     told = F.when(F.regexp_like(at, F.lit(r"^\s*$")), F.lit("")).otherwise(told)
     return full.select(*[F.col(f"_{i}_").alias(n) for i, n in enumerate(names)], told.alias(out))
 

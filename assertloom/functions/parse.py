@@ -35,12 +35,23 @@ PARSED = (
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_end(c: Column) -> Column:
     """Stripped, then without semicolons at both ends, then stripped again."""
-    return strip(F.regexp_replace(strip(c), "^;+|;+$", ""))
+    return strip(F.btrim(strip(c), F.lit(";")))
+
+
+def having(c: Column, mark: str, then: Column, otherwise: Column | None = None) -> Column:
+    """`then` where the mark stands in the text, else `otherwise` (or null): a search for a mark costs far less than a pattern that needs it."""
+    out = F.when(F.contains(c, F.lit(mark)), then)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def without(c: Column, mark: str, pattern: str, by: str = "") -> Column:
+    """The text with `by` for all that matches; the mark stands in every match."""
+    return having(c, mark, F.regexp_replace(c, pattern, by), c)
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -50,11 +61,13 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def body(c: Column) -> Column:
     """What a property says: of a named block, else of an inline assertion, else the whole text."""
-    return F.when(F.regexp_like(c, F.lit(BLOCK)), strip(F.regexp_extract(c, BLOCK, 1))).when(F.regexp_like(c, F.lit(INLINE)), strip(F.regexp_extract(c, INLINE, 1))).otherwise(c)
+    low = F.lower(c)
+    block, inline = (F.contains(low, F.lit(mark)) & F.regexp_like(c, F.lit(p)) for mark, p in (("endproperty", BLOCK), ("property", INLINE)))
+    return F.when(block, strip(F.regexp_extract(c, BLOCK, 1))).when(inline, strip(F.regexp_extract(c, INLINE, 1))).otherwise(c)
 
 
 def property_name(c: Column) -> Column:
-    return found(c, rf"property\s+({NAME})")
+    return having(c, "property", found(c, rf"property\s+({NAME})"))
 
 
 def kinds(c: Column) -> tuple[Column, Column, Column]:
@@ -66,12 +79,12 @@ def kinds(c: Column) -> tuple[Column, Column, Column]:
 
 def clock(c: Column) -> tuple[Column, Column]:
     """(signal, edge); without a clocking event null and posedge."""
-    return found(c, CLOCK, 2), F.coalesce(found(c, CLOCK, 1), F.lit("posedge"))
+    return having(c, "@", found(c, CLOCK, 2)), F.coalesce(having(c, "@", found(c, CLOCK, 1)), F.lit("posedge"))
 
 
 def disable(c: Column) -> tuple[Column, Column, Column]:
     """(condition, reset signal, active low); without a disable clause null, null and true."""
-    cond = strip(found(c, DISABLE))
+    cond = having(c, "disable", strip(found(c, DISABLE)))
     reset = found(cond, rf"[!~]?\s*({NAME})")
     low = F.when(cond.isNull(), F.lit(True)).otherwise(cond.startswith("!") | cond.startswith("~"))
     return cond, reset, low
@@ -80,9 +93,11 @@ def disable(c: Column) -> tuple[Column, Column, Column]:
 def implication(of_body: Column) -> tuple[Column, Column, Column]:
     """(operator, antecedent, consequent) of a body; |=> is looked for first, wherever it stands."""
     op = F.when(F.contains(of_body, F.lit("|=>")), F.lit("|=>")).when(F.contains(of_body, F.lit("|->")), F.lit("|->"))
-    parts = F.when(op == "|=>", F.split(of_body, r"\Q|=>\E", 2)).when(op == "|->", F.split(of_body, r"\Q|->\E", 2))
-    left = F.regexp_replace(F.regexp_replace(F.get(parts, 0), r"@\s*\([^)]+\)", ""), r"disable\s+iff\s*\([^)]+\)", "")
-    return op, strip_end(left), strip_end(F.get(parts, 1))
+    left = F.when(op == "|=>", F.substring_index(of_body, "|=>", 1)).when(op == "|->", F.substring_index(of_body, "|->", 1))
+    left = without(without(left, "@", r"@\s*\([^)]+\)"), "disable", r"disable\s+iff\s*\([^)]+\)")
+    after = lambda sign: F.substring(of_body, F.locate(sign, of_body) + 3, F.length(of_body))
+    right = F.when(op == "|=>", after("|=>")).when(op == "|->", after("|->"))
+    return op, strip_end(left), strip_end(right)
 
 
 def delays(c: Column) -> Column:
@@ -90,13 +105,13 @@ def delays(c: Column) -> Column:
     exact = F.transform(F.regexp_extract_all(c, F.lit(EXACT), F.lit(1)), lambda n: F.struct(n.cast("int").alias("min"), n.cast("int").alias("max"), F.lit(False).alias("unbounded")))
     pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(RANGE), F.lit(2)).alias("b"))
     ranges = F.transform(pairs, lambda p: F.struct(p["a"].cast("int").alias("min"), F.when(p["b"] != "$", p["b"]).cast("int").alias("max"), (p["b"] == "$").alias("unbounded")))
-    return F.concat(exact, ranges)
+    return having(c, "##", F.concat(exact, ranges), F.when(c.isNotNull(), F.array().cast("array<struct<min:int,max:int,unbounded:boolean>>")))
 
 
 def temporal_operators(c: Column) -> Column:
     low = F.lower(c)
     tests = [(F.contains(c, F.lit(s)), s) for s in ("##", "[*", "[->", "[=")] + [(F.contains(low, F.lit(s)), s) for s in ("throughout", "within", "intersect")]
-    tests += [(F.regexp_like(c, F.lit(rf"(?i)\b{w}\b")), w) for w in ("and", "or", "not")] + [(F.contains(low, F.lit("first_match")), "first_match")]
+    tests += [(F.contains(low, F.lit(w)) & F.regexp_like(c, F.lit(rf"(?i)\b{w}\b")), w) for w in ("and", "or", "not")] + [(F.contains(low, F.lit("first_match")), "first_match")]
     return F.array_compact(F.array(*[F.when(t, F.lit(name)) for t, name in tests]))
 
 
@@ -110,30 +125,29 @@ def signals(of_body: Column, whole: Column, clock_signal: Column, reset_signal:
     A body that is empty gives way to the whole text.
     """
     text = F.when(of_body == "", whole).otherwise(of_body)
-    text = F.regexp_replace(text, r'"[^"]*"', "")
-    text = F.regexp_replace(text, r"(?m)//.*$", "")
-    text = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    text = F.regexp_replace(text, rf"\${NAME}\s*\(", "(")
-    names = F.filter(identifiers(text), lambda n: ~F.lower(n).isin(KEYWORDS))
-    names = F.array_sort(F.array_distinct(names))
+    for mark, pattern, by in (('"', r'"[^"]*"', ""), ("//", r"(?m)//.*$", ""), ("/*", r"(?s)/\*.*?\*/", ""), ("$", rf"\${NAME}\s*\(", "(")):
+        text = without(text, mark, pattern, by)
+    names = F.filter(F.array_distinct(identifiers(text)), lambda n: ~F.lower(n).isin(KEYWORDS))
+    names = F.sort_array(names)
     return F.transform(
         names,
         lambda n: F.struct(
             n.alias("name"),
-            (F.regexp_like(n, F.lit(r"(?i)^(clk|clock)")) | n.eqNullSafe(clock_signal)).alias("is_clock"),
-            (F.regexp_like(n, F.lit(r"(?i)^(rst|reset)")) | n.eqNullSafe(reset_signal)).alias("is_reset"),
+            (F.lower(n).startswith("clk") | F.lower(n).startswith("clock") | n.eqNullSafe(clock_signal)).alias("is_clock"),
+            (F.lower(n).startswith("rst") | F.lower(n).startswith("reset") | n.eqNullSafe(reset_signal)).alias("is_reset"),
         ),
     )
 
 
 def builtin_functions(c: Column) -> Column:
     """Calls by function in the order of BUILTINS, then by position; arguments end at the first closing parenthesis."""
+    none = F.when(c.isNotNull(), F.array().cast("array<struct<name:string,arguments:array<string>>>"))
 
     def calls(name: str) -> Column:
         args = F.regexp_extract_all(c, F.lit(rf"(?i)\{name}\s*\(([^)]*)\)"), F.lit(1))
-        return F.transform(args, lambda a: F.struct(F.lit(name).alias("name"), F.filter(F.transform(F.split(a, ","), strip), lambda x: x != "").alias("arguments")))
+        return having(F.lower(c), name, F.transform(args, lambda a: F.struct(F.lit(name).alias("name"), F.filter(F.transform(F.split(a, ","), strip), lambda x: x != "").alias("arguments"))), none)
 
-    return F.concat(*[calls(name) for name in BUILTINS])
+    return having(c, "$", F.concat(*[calls(name) for name in BUILTINS]), none)
 
 
 def parsed_columns(df: DataFrame, sva: str = "sva") -> DataFrame:
@@ -178,6 +192,17 @@ FIELDS = (
 ).split()
 
 
+class Fields(dict):
+    """The columns of parsed_columns as a struct PARSED reads: only those that are read are computed. It is null where the text is."""
+
+    def __init__(self, text: Column):
+        super().__init__({f: F.col(f) for f in FIELDS})
+        self.text = text
+
+    def isNotNull(self) -> Column:  # noqa: N802, as a Column's
+        return self.text.isNotNull()
+
+
 def with_parsed(df: DataFrame, sva: str = "sva", out: str = "parsed") -> DataFrame:
     """df with a column of type PARSED: null where the text is null."""
     names = [n for n in df.columns if n != out]

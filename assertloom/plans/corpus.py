@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: An assertion for every order: blocks, inline assertions, plain sequences, copies that differ in white space, nothing at all.
@@ -68,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of one of the statements above over the tables of a folder."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, first: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+    """The rows of one of the statements above over the tables of a folder; `first` is done to the table that it reads."""
     name = sql.rsplit("FROM ", 1)[1].strip()
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}").replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), source=table(spark, sf_dir, name))
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}").replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), source=first(table(spark, sf_dir, name)))

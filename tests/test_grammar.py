@@ -6,11 +6,13 @@ from random import Random
 
 import pytest
 
+from assertloom.functions import describe
 from assertloom.functions.describe import described, module_text, signal_names, single
 from assertloom.grammar.narrate import narrate
 from assertloom.grammar.parser import SyntaxProblem, parse
 from assertloom.grammar.synth import CONSTRUCTS, PRESETS, Grammar, Source, contains, make
 from assertloom.operators import synthesis, verification
+from assertloom.plans import catalogue
 from assertloom.verify.bounded import check
 from assertloom.verify.engines import module
 from pyspark.sql import functions as F
@@ -65,6 +67,23 @@ def test_descriptions(spark):
         described(spark.createDataFrame(rows, "sva string"), style="other")
 
 
+def test_descriptions_are_worded_once_for_all_names(spark):
+    rows = [(f"property p_{i}; @(posedge clk) $rose(a) |-> ##[1:2] (b && c); endproperty",) for i in range(50)] + [("property q; endproperty",)]
+    df = described(spark.createDataFrame(rows, "sva string").coalesce(1))
+    got = [r.description for r in df.collect()]
+    assert len(set(got[:50])) == 1 and "Evaluate the property: property q; endproperty" in got[50]
+    plan = df._jdf.queryExecution().toString()
+    assert "to_json" in plan  # what is worded is known by one text, which the name isn't in
+    describe._told.cache_clear()
+    fields = '{"signals":[{"name":"a","is_clock":false,"is_reset":false}],"builtin_functions":[],"antecedent":null,"consequent":null,"clock_signal":null,"clock_edge":"posedge","implication_type":null,"reset_signal":null,"reset_active_low":true,"disable_condition":null}'
+    assert describe._told("a", fields, "symbolic") == describe._told("a", fields, "symbolic") and describe._told.cache_info().hits == 1
+
+
+@pytest.mark.parametrize("name", ["describe_symbolic", "describe_natural", "parse_full", "cot"])
+def test_a_file_of_one_row_group_is_not_one_task(spark, sf, name):
+    assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() > 4
+
+
 def test_synthesis_depends_on_the_id_alone(spark):
     ids = spark.range(200)
     a = {r.id: r.sva for r in synthesis.synthesize(ids.repartition(7)).collect()}
