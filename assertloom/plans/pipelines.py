@@ -70,15 +70,19 @@ def enrich(lines: DataFrame, model: TextModel | None = None, with_steps: bool =
 
 
 def evaluate(items: DataFrame, models: list[TextModel], engine: Engine = Bounded(), store: str | None = None, temperature: float = 0.1) -> DataFrame:
-    """A row for each model and item (item_idx, SVAD, SVA): the model's assertion, how it relates to the reference, and the times taken."""
+    """A row for each model and item (item_idx, SVAD, SVA): the model's assertion, how it relates to the reference, and the times taken.
+
+    Items with the same description and reference are asked about, read and checked once a model.
+    """
     names = items.sparkSession.createDataFrame([(m.name,) for m in models], "model_name string")
-    base = benchmarkable(items).crossJoin(F.broadcast(names))  # a row a model, whatever the items
-    base = base.withColumns({"key": item_key(F.col("SVAD"), F.col("SVA"), F.col("model_name")), "prompt": prompt(TO_CODE, svad=F.col("SVAD"))})
-    answers = _resumed(base.select("key", "model_name", "prompt"), store, lambda x: asked(x, models, temperature=temperature))
-    rows = base.join(answers, "key").withColumn("generated_sva", reply_code(F.coalesce("payload", F.lit(""))))
-    checked = check_pairs(rows, engine, "generated_sva", "SVA")
+    base = benchmarkable(items).select("item_idx", "SVAD", "SVA")
+    different = base.select("SVAD", "SVA").distinct().crossJoin(F.broadcast(names))  # a row a model, whatever the items
+    different = different.withColumns({"key": item_key(F.col("SVAD"), F.col("SVA"), F.col("model_name")), "prompt": prompt(TO_CODE, svad=F.col("SVAD"))})
+    answers = _resumed(different.select("key", "model_name", "prompt"), store, lambda x: asked(x, models, temperature=temperature))
+    told = different.drop("prompt").join(answers, "key").withColumn("generated_sva", reply_code(F.coalesce("payload", F.lit(""))))
+    checked = check_pairs(written(told.drop("payload"), "replies"), engine, "generated_sva", "SVA")
     failed = F.col("error").isNotNull()
-    return checked.select(
+    return base.join(checked, ["SVAD", "SVA"]).select(
         "model_name",
         "item_idx",
         F.col("SVAD").alias("svad"),

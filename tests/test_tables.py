@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assertloom.operators import cache, quality, setops
+from assertloom.operators.verification import check_pairs
 from assertloom.plans import pipelines
 from assertloom.services.models import Echo, health
 from assertloom.sources import files
@@ -125,6 +126,33 @@ def test_evaluate(spark):
     assert got == {0: "equivalent", 1: "generated_implies_reference"}
 
 
+def test_evaluate_asks_and_checks_alike_items_once(spark, tmp_path):
+    class Logged(Echo):
+        def generate(self, prompt, *a, **k):
+            with open(tmp_path / "asked", "a") as f:
+                f.write("x")
+            return super().generate(prompt, *a, **k)
+
+    same = [(i, "a |-> b", "a |-> b") for i in range(40)] + [(i, "a |-> b", "a |-> b || c") for i in range(40, 50)] + [(50, "a|b", "c"), (51, "a", "b|c"), (50, "a|b", "c")]  # the last ones share a cache key
+    items = spark.createDataFrame(same, "item_idx int, SVAD string, SVA string")
+    rows = pipelines.evaluate(items, [Logged("m1"), Logged("m2")])
+    assert len(open(tmp_path / "asked").read()) == 6
+    got = sorted((r.model_name, r.item_idx, r.reference_sva, r.relationship) for r in rows.collect())
+    assert len(got) == 106 and [g[3] for g in got[:40]] == ["equivalent"] * 40 and [g[3] for g in got[40:50]] == ["generated_implies_reference"] * 10
+    assert [g[1:3] for g in got[50:53]] == [(50, "c"), (50, "c"), (51, "b|c")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # replies were read before, once each, not for every item
+
+
+def test_pairs_are_normalised_once_each(spark):
+    rows = [(i, *p) for i, p in enumerate([("property p; a |-> b; endproperty", "a |-> b"), (None, "a"), ("a", None), (None, None), ("", "a"), ("a  |-> b", "a |-> b")] * 3)]
+    got = {r.id: r for r in check_pairs(spark.createDataFrame(rows, "id int, sva1 string, sva2 string")).collect()}
+    assert [got[i].result for i in range(18)] == ["equivalent", "error", "error", "error", "error", "equivalent"] * 3
+    assert got[0].verification_time == got[5].verification_time == got[17].verification_time  # one check
+    plan = check_pairs(spark.range(5).selectExpr("id", "concat('a', id) sva1", "concat('b', id) sva2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_replace") < plan.rindex("Aggregate")  # patterns run on what differs, not on every row
+
+
 def test_health():
     class Down(Echo):
         def generate(self, *a, **k):
