@@ -169,10 +169,9 @@ def _work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("model_name", "item_id", text.item_key(F.col("text"), F.col("text"), F.col("model_name")).alias("key"))
 
 
-def _explained(part: Callable[[Column, Column], Column], name: str) -> Query:
+def _explained(part: Callable[[parse.Fields, Column], Column], name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = parse.with_parsed(_dealt(spark, sf_dir), out="p")
-        return p.select("prop_id", part(F.col("p"), F.col("sva")).alias(name))
+        return parse.parsed_columns(_dealt(spark, sf_dir)).select("prop_id", part(parse.Fields(F.col("sva")), F.col("sva")).alias(name))
 
     return run
 
